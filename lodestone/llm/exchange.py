@@ -1,8 +1,8 @@
 """Asking a distributed table about a block's distinct keys, and getting the answers back in order.
 
 A *block* is a few megabytes of documents. Its distinct keys go out in packed rows, one for each shard
-(``REQUEST``); the reducer of a shard sees every block's request, answers each distinct key once, and
-replies with values in the request's order (``REPLY``), so keys travel once and hot keys weigh one entry
+; the reducer of a shard sees every block's request, answers each distinct key once, and
+replies with values in the request's order, so keys travel once and hot keys weigh one entry
 a block, however many rows hold them. Shards are cut by key hash, hence even; no key is ever gathered.
 """
 
@@ -16,6 +16,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .arrays import mix
+
 PACKED = "block long, shard int, payload binary"
 SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
 HOME = -1  # the shard number of what a block keeps for itself
@@ -29,6 +31,11 @@ def block_ids() -> Iterator[int]:
         at += 1
 
 
+def block_of(number: int, keys: np.ndarray) -> int:
+    """A block's id, from its number and its keys: scans that cut other blocks would find no replies, not wrong ones."""
+    return int(mix(np.array([number], np.uint64) + np.sum(keys, dtype=np.uint64))[0] >> np.uint64(1))
+
+
 def row(block: int, shard: int, payload: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([payload], pa.binary())], schema=SCHEMA)
 
@@ -89,9 +96,12 @@ def gather(parts: DataFrame, n: int, finish: Callable[[bytes, list[bytes]], Iter
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, home, replies = None, None, []
+        # a block without its own row means that two scans of one input cut it differently
         for block, shard, payload in rows_of(batches):
             if block != now:
                 if now is not None:
+                    if home is None:
+                        raise RuntimeError("replies for a block that isn't there: the input changed between two scans")
                     yield from finish(home, replies)
                 now, home, replies = block, None, []
             if shard == HOME:

@@ -76,6 +76,21 @@ def bounded(batches: Iterable[pa.RecordBatch], text: str, most: int = 2 << 20, r
             at = to
 
 
+def regrouped(batches: Iterable[pa.RecordBatch], text: str, most: int, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes of text, joined from smaller ones and cut from larger ones."""
+    held: list[pa.RecordBatch] = []
+    size = count = 0
+    for batch in bounded(batches, text, most, rows):
+        own = int(pc.sum(pc.binary_length(batch.column(text))).as_py() or 0)
+        if held and (size + own > most or count + batch.num_rows > rows):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, count = [], 0, 0
+        held.append(batch)
+        size, count = size + own, count + batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column, nulls being empty."""
     large = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()

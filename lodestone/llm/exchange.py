@@ -31,6 +31,12 @@ def block_ids() -> Iterator[int]:
         at += 1
 
 
+def numbered_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches with numbers from their column ``part`` (spark_partition_id(), which a union doesn't shift) and their order in it."""
+    for i, batch in enumerate(batches):
+        yield (batch.column("part")[0].as_py() << 32) + i, batch
+
+
 def block_of(number: int, keys: np.ndarray) -> int:
     """A block's id, from its number and its keys: scans that cut other blocks would find no replies, not wrong ones."""
     return int(mix(np.array([number], np.uint64) + np.sum(keys, dtype=np.uint64))[0] >> np.uint64(1))

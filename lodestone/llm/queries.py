@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import decontaminate
+from .language_id import language_id
+from .language_model import score_documents
 from .near_duplicates import near_duplicates
 from .session import table
 from .token_counts import token_counts
@@ -49,6 +51,14 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("\\\\", "\\")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,6 +71,8 @@ def queries() -> dict[str, Query]:
     return {
         "op3_token_counts": op3_token_counts,
         "op6_decontamination": op6_decontamination,
+        "op7_language_model": op7_language_model,
+        "op8_language_id": op8_language_id,
         "op9_token_output": op9_token_output,
         "op10_near_duplicates": op10_near_duplicates,
     }

@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import bounded, numbered, owner
-from .exchange import HOME, PACKED, ask, block_ids, block_of, gather, pack_batch, pack_numbers, row, shards_of, unpack_batch, unpack_numbers
+from .exchange import HOME, PACKED, ask, block_of, gather, numbered_blocks, pack_batch, pack_numbers, row, shards_of, unpack_batch, unpack_numbers
 from .pretokens import Pieces, pretokens, split_specials, strings
 from .session import prepare, shuffle_partitions
 
@@ -33,7 +34,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     n = shuffle_partitions(spark)
 
     def split(batches: Iterable[pa.RecordBatch], requests: bool) -> Iterator[pa.RecordBatch]:
-        for number_, batch in zip(block_ids(), bounded(batches, "text", block_bytes)):
+        for number_, batch in numbered_blocks(bounded(batches, "text", block_bytes)):
             texts, doc, front, _ = split_specials(batch.column("text"), tokenizer_path)
             points, cut, hashes, offsets = pretokens(texts)
             keys, first, number = numbered(hashes)
@@ -77,6 +78,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tokens = sums[bounds[1:]] - sums[bounds[:-1]] + own.column("special").to_numpy()
         yield pa.RecordBatch.from_arrays([own.column("id"), own.column("size").cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.spark_partition_id().alias("part"))
     replies = ask(own.mapInArrow(lambda b: split(b, True), PACKED), n, answer)
     return gather(own.mapInArrow(lambda b: split(b, False), PACKED).unionByName(replies), n, finish, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import decontaminate
 from .language_id import language_id
 from .language_model import score_documents
+from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .session import table
 from .token_counts import token_counts
@@ -22,6 +23,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -69,6 +74,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op3_token_counts": op3_token_counts,
         "op6_decontamination": op6_decontamination,
         "op7_language_model": op7_language_model,

@@ -89,9 +89,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 
     Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). A source's target is its weight's share of all
     sizes (weights repeat over sources in code-point order, null last), at most ``most`` times its size, the excess
-    reshared. Rates come from entropy_balance; a rate's fraction is rounded by a hash of the id: a document above
-    its source's mean size goes up if the hash lies below the fraction; of the others those go up whose hash lies
-    furthest below it, as many as bring the source nearest to its target. The cut is found by three rounds of counting in buckets, so no source is ever sorted or gathered. Documents of size 0
+    reshared. Rates come from entropy_balance; fractions are rounded by a hash of the id: those documents go up
+    whose hash lies furthest below the fraction, first of those above their source's mean size, as many as come
+    nearest to what their fractions add up to, then of the others, as many as bring the source nearest to its
+    target. The cuts are found by counting in buckets, so no source is ever sorted or gathered. Documents of size 0
     take 0. Rows that repeat an id round alike. An empty table gives an empty result. Reruns agree.
     """
     prepare(docs.sparkSession)
@@ -102,26 +103,44 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     balanced = entropy_balance(sized, targets, float(most)).checkpoint()
     goals = targets.join(balanced.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").checkpoint()
     rated = (
-        sized.join(F.broadcast(goals.withColumnRenamed("source", "s")) if goals.count() <= 10_000 else goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        sized.join(small(goals), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("rate", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.coalesce(tilted(F.col("size"), F.col("tilt"), F.col("mean"), float(most)), F.lit(float(most)))))
         .withColumn("base", F.floor("rate"))
         .withColumn("place", (F.pmod(F.xxhash64(F.lit("round"), "doc_id", "size"), F.lit(1 << 52)).cast("double") / float(1 << 52) - (F.col("rate") - F.col("base")) + 1) / 2)
         .withColumn("large", F.col("size") > F.col("mean"))
-        .withColumn("base", F.col("base") + F.when(F.col("large") & (F.col("place") < 0.5), 1).otherwise(0))
-        .withColumn("most_up", (F.col("base") < most) & ~F.col("large"))
+        .withColumn("open", (F.col("base") < most) & (F.col("size") > 0))
     )
-    # place lies in (0, 1): documents of the least places of a source go up, until the target is met
-    cut = rated.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("base") * F.col("size")).alias("sure"))
-    cut = cut.select("source", (F.col("target") - F.col("sure")).alias("need"), F.lit(0.0).alias("from"), F.lit(1.0).alias("width")).checkpoint()
-    for level in range(3):
-        low = cut.select(F.col("source").alias("s"), "need", "from", "width")
-        near = F.broadcast(low) if level == 0 and low.count() <= 10_000 else low
-        inside = rated.where("most_up and size > 0").join(near, F.col("source").eqNullSafe(F.col("s"))).where("place >= from and place < from + width")
+    for large in (True, False):
+        own = F.col("open") & (F.col("large") == large)
+        need = F.sum(F.when(F.col("large"), (F.col("rate") - F.col("base")) * F.col("size")).otherwise(0.0)) if large else F.first("target") - F.sum(F.col("base") * F.col("size"))
+        needs = rated.groupBy("source").agg(need.alias("need"))
+        cut = lowest_places(rated.where(own).select("source", "size", "place"), needs)
+        rated = rated.join(small(cut), F.col("source").eqNullSafe(F.col("s"))).withColumn("base", F.col("base") + F.when(own & (F.col("place") < F.col("cut")), 1).otherwise(0)).drop("s", "cut")
+    copies = F.col("base").cast("long")
+    return rated.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def small(by_source: DataFrame) -> DataFrame:
+    """A table with a row a source, its key as s: broadcast if it has few rows, joined by shuffle if not."""
+    renamed = by_source.withColumnRenamed("source", "s")
+    return F.broadcast(renamed) if by_source.count() <= 10_000 else renamed
+
+
+def lowest_places(rows: DataFrame, needs: DataFrame, levels: int = 2) -> DataFrame:
+    """source, cut: the rows of source with place below cut have sizes that add up nearest to its need.
+
+    Each level counts sizes in BUCKETS parts of the interval in which the sum passes the need and goes on inside
+    the part where it does; the last part, nearly always one row, goes in if that is nearer.
+    """
+    cut = needs.select("source", "need", F.lit(0.0).alias("from"), F.lit(1.0).alias("width"), F.lit(0).cast("long").alias("last")).checkpoint()
+    for _ in range(levels):
+        low = small(cut.drop("last"))
+        inside = rows.join(low, F.col("source").eqNullSafe(F.col("s"))).where("place >= from and place < from + width")
         bucket = inside.groupBy("source", "need", "from", "width", F.least(F.floor((F.col("place") - F.col("from")) / F.col("width") * BUCKETS), F.lit(BUCKETS - 1)).alias("b")).agg(F.sum("size").alias("w"))
         run = Window.partitionBy("source", "need", "from", "width").orderBy("b")
         stepped = bucket.withColumn("upto", F.sum("w").over(run)).withColumn("before", F.col("upto") - F.col("w"))
-        # the first bucket that passes the need; where none does, everything inside goes up
+        # the first part that passes the need; where none does, everything inside goes in
         found = stepped.groupBy("source", "need", "from", "width").agg(F.min(F.when(F.col("upto") > F.col("need"), F.struct("b", "before", "upto"))).alias("x"))
         found = found.select(
             F.col("source").alias("s2"),
@@ -131,13 +150,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
             (F.col("x.upto") - F.col("x.before")).alias("last2"),
         )
         cut = (
-            cut.join(found, F.col("source").eqNullSafe(F.col("s2")), "left")
-            .select("source", F.coalesce("need2", "need").alias("need"), F.coalesce("from2", "from").alias("from"), F.coalesce("width2", F.lit(0.0)).alias("width"), F.coalesce("last2", F.lit(0)).alias("last"))
+            cut.drop("last")
+            .join(found, F.col("source").eqNullSafe(F.col("s2")), "left")
+            .select("source", F.coalesce("need2", "need").alias("need"), F.coalesce("from2", "from").alias("from"), F.coalesce("width2", F.lit(0.0)).alias("width"), F.coalesce("last2", F.lit(0)).cast("long").alias("last"))
             .checkpoint()
         )
-    # the last bucket is a document, or rows that repeat one: it goes up if that is nearer
-    final = cut.select(F.col("source").alias("s"), F.when(F.col("need") * 2 >= F.greatest(F.col("last"), F.lit(1)), F.col("from") + F.col("width")).otherwise(F.col("from")).alias("cut"))
-    final = F.broadcast(final) if final.count() <= 10_000 else final
-    done = rated.join(final, F.col("source").eqNullSafe(F.col("s")))
-    copies = (F.col("base") + F.when(F.col("most_up") & (F.col("size") > 0) & (F.col("place") < F.col("cut")), 1).otherwise(0)).cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return cut.select("source", F.when(F.col("need") * 2 >= F.greatest(F.col("last"), F.lit(1)), F.col("from") + F.col("width")).otherwise(F.col("from")).alias("cut"))

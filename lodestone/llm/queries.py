@@ -12,6 +12,8 @@ from .language_id import language_id
 from .language_model import score_documents
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .permutation_index import nearest
+from .quality import quality_scores
 from .session import table
 from .token_counts import token_counts
 from .token_output import token_output
@@ -31,6 +33,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors["vec_id"] % 100 == 0, k=10)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -76,6 +87,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op3_token_counts": op3_token_counts,
+        "op4_permutation_index": op4_permutation_index,
+        "op5_quality": op5_quality,
         "op6_decontamination": op6_decontamination,
         "op7_language_model": op7_language_model,
         "op8_language_id": op8_language_id,

@@ -16,6 +16,7 @@ from .session import prepare
 
 SLOTS, ROWS = 160, 5  # 32 bands of 5: a pair at similarity 0.8 shares no band with probability below 4e-6
 MAX_ROUNDS = 6
+SLACK = 18  # percent by which a pair's estimated similarity may fall short before it is compared exactly: 4.8 standard deviations
 
 
 def superminhash(keys: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -59,6 +60,20 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of each slot, 32 slots a word."""
+    n, slots = signatures.shape
+    bits = (mix(signatures) & U64(3)).reshape(n, slots // 32, 32)
+    return np.bitwise_or.reduce(bits << (np.arange(32, dtype=U64) * U64(2)), axis=2).view(np.int64)
+
+
+def alike(slots: int, percent: int) -> str:
+    """SQL: the sketches s and ps agree in as many slots as a similarity of percent - SLACK makes likely."""
+    least = max(percent - SLACK, 0) / 100
+    parts = [f"bit_count(((s[{i}] ^ ps[{i}]) | shiftrightunsigned(s[{i}] ^ ps[{i}], 1)) & {0x5555555555555555}L)" for i in range(slots // 32)]
+    return f"({' + '.join(parts)}) <= {int(slots * (1 - least - (1 - least) / 4))}"
+
+
 def text_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = buffers(column)
     _, _, hashes, by_doc = words(data, offsets, SPACED)
@@ -74,10 +89,13 @@ def sign(batches: Iterable[pa.RecordBatch], shingle: int, slots: int, rows: int)
             total = np.zeros(len(keys) + 1, U64)
             np.cumsum(mix(keys ^ U64(salt << 20)), out=total[1:])
             sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
-        bands = band_keys(superminhash(keys, offsets, slots), rows)
+        signature = superminhash(keys, offsets, slots)
+        bands = band_keys(signature, rows)
+        sketch = sketches(signature)
         some = np.where(sizes > 0, bands.shape[1], 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]), pa.int32()), pa.array(bands[sizes > 0].reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), lists], names=["id", "n", "a", "b", "bands"])
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * sketch.shape[1], pa.int32()), pa.array(sketch.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), lists, sketch], names=["id", "n", "a", "b", "bands", "s"])
 
 
 def shared(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -122,23 +140,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Equal sets are one class, found by size and a 128-bit hash; only a class's least id goes on. Banding gives
     buckets. Nothing pairs up a bucket: in each round a bucket's members are compared with one pivot of it, and
-    what proves similar is united; rounds go on, with other pivots, while many members of one bucket lie in
-    different components. At last the pairs of a bucket that still lie in different components and were not yet
-    compared are compared, so no candidate link is left out. Every link is confirmed on whole sets.
+    what proves similar is united; rounds go on, with other pivots, while they unite anything. At last those pairs
+    of a bucket are compared that still lie in different components and whose sketches agree well enough, so no
+    candidate link is left out. Every link is confirmed on whole sets.
     """
     spark = prepare(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    signed = own.mapInArrow(lambda b: sign(b, shingle, slots, rows), "id long, n long, a long, b long, bands array<long>").checkpoint()
+    signed = own.mapInArrow(lambda b: sign(b, shingle, slots, rows), "id long, n long, a long, b long, bands array<long>, s array<long>").checkpoint()
     some = signed.where("id is not null and n > 0")
     classes = some.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times").checkpoint()
     ranked = some.join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "bands")
     copies = ranked.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
 
     keyed = ranked.where("id = rep").select("id", "n", F.explode("bands").alias("key")).distinct().checkpoint()
-    busy = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key").checkpoint()
-    members = keyed.join(busy, "key", "left_semi").checkpoint()
-    wanted = members.select("id").distinct().checkpoint()
-    n_wanted = wanted.count()
+    busy = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size").checkpoint()
+    placed = keyed.join(busy, "key")
+    known = signed.where("id is not null and n > 0").select(F.col("id").alias("sid"), "n", "s").groupBy("sid", "n").agg(F.min("s").alias("s"))
+    # what shares buckets with most others stands amid a group: it makes the best pivot
+    ranks = placed.groupBy("id", "n").agg(F.sum("size").alias("degree")).join(known.withColumnRenamed("n", "sn"), (F.col("id") == F.col("sid")) & (F.col("n") == F.col("sn"))).select("id", "n", "degree", "s").checkpoint()
+    members = placed.select("key", "id", "n").join(ranks, ["id", "n"]).select("key", "id", "n", "degree", "s").checkpoint()
+    n_wanted = ranks.count()
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(3).compress
@@ -149,37 +170,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     pairs = spark.createDataFrame([], "u long, v long")
     if n_wanted:
         packed = own.where("id is not null").mapInArrow(pack, "id long, z binary")
-        store = packed.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("z").alias("z")).checkpoint()
 
         def confirmed(candidates: DataFrame) -> DataFrame:
+            ids = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+            store = packed.join(ids, "id", "left_semi").groupBy("id").agg(F.max("z").alias("z")).checkpoint()
             left, right = store.select(F.col("id").alias("u"), F.col("z").alias("zu")), store.select(F.col("id").alias("v"), F.col("z").alias("zv"))
             return candidates.join(right, "v").join(left, "u").select("u", "v", "zu", "zv").mapInArrow(lambda b: verify(b, shingle, percent), "u long, v long").checkpoint()
 
         def labelled(pairs: DataFrame) -> DataFrame:
             roots = components(pairs).checkpoint()
-            return members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+            return members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "degree", "s", F.coalesce("root", "id").alias("root"))
+
+        def open_(now: DataFrame) -> DataFrame:
+            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+            return now.join(mixed, "key", "left_semi").checkpoint()
 
-        fits = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
+        fits = f"id <> pid and root <> proot and 100 * least(n, pn) >= {percent} * greatest(n, pn) and {alike(slots, percent)}"
+        edge = [F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v")]
         tested = pairs
         now = members.withColumn("root", F.col("id"))
         for turn in range(MAX_ROUNDS):
-            priority = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            pivot = now.groupBy("key").agg(F.min(F.struct(priority.alias("p"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("root").alias("proot"))).alias("x")).select("key", "x.pid", "x.pn", "x.proot").checkpoint()
-            fresh = now.join(pivot, "key").where(f"id <> pid and root <> proot and {fits}").select(F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v")).distinct()
-            fresh = fresh.join(tested, ["u", "v"], "left_anti").checkpoint()
+            first = -F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            pivot = now.groupBy("key").agg(F.min(F.struct(first.alias("p"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("s").alias("ps"))).alias("x")).select("key", "x.pid", "x.pn", "x.proot", "x.ps").checkpoint()
+            fresh = now.join(pivot, "key").where(fits).select(*edge).distinct().join(tested, ["u", "v"], "left_anti").checkpoint()
             tested = tested.unionByName(fresh)
-            pairs = pairs.unionByName(confirmed(fresh))
-            now = labelled(pairs).checkpoint()
-            open_ = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-            left = open_.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if left <= 4 * n_wanted + 100_000:
+            united = confirmed(fresh) if fresh.take(1) else fresh
+            if not united.take(1):
                 break
-        if left:
-            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key").checkpoint()
-            rest = now.join(mixed, "key", "left_semi").checkpoint()
-            other = rest.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-            fresh = rest.join(other, "key").where(f"id > pid and root <> proot and {fits}").select(F.col("id").alias("u"), F.col("pid").alias("v")).distinct()
-            fresh = fresh.join(tested, ["u", "v"], "left_anti").checkpoint()
+            pairs = pairs.unionByName(united)
+            now = open_(labelled(pairs))
+        other = now.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("s").alias("ps"))
+        fresh = now.join(other, "key").where(f"id > pid and {fits}").select(*edge).distinct().join(tested, ["u", "v"], "left_anti").checkpoint()
+        if fresh.take(1):
             pairs = pairs.unionByName(confirmed(fresh))
     roots = components(copies.unionByName(pairs)).checkpoint()
     return signed.select("id", "n").join(roots, F.col("id") == F.col("node"), "left").select(

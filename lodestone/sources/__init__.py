@@ -1 +1,103 @@
+"""Readers of the import formats."""
 
+from __future__ import annotations
+
+import os
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..lang.ast import Import, Op, RuleError, Tuple_, Var, substitute
+from ..lang.values import Value
+
+#: What formats there are, the parameters they take, and file name endings of the RDF ones.
+COMMON = {"resource", "compression", "http_headers", "http_get_parameters", "http_post_parameters", "iri_fragment", "limit"}
+DSV = {"csv": ",", "tsv": "\t", "dsv": None}
+RDF_ENDINGS = {"nt": "ntriples", "nq": "nquads", "ttl": "turtle", "trig": "trig", "rdf": "rdfxml"}
+RDF = ("ntriples", "nquads", "turtle", "trig", "rdfxml", "rdf")
+PARAMETERS = {**{f: COMMON | {"format", "ignore_headers", "quoting", "delimiter"} for f in DSV}, **{f: COMMON | {"base", "format"} for f in RDF}, "json": COMMON, "sparql": {"endpoint", "query", "base", "format", "iri_fragment"}, "parquet": COMMON}
+
+
+def parameters(spec: Import) -> dict:
+    """A specification's parameters with what its guards bind put in."""
+    map_ = {}
+    for g in spec.guards:
+        if isinstance(g, Op) and g.name == "EQUALITY" and isinstance(g.args[0], Var):
+            map_[g.args[0]] = g.args[1]
+        else:
+            raise RuleError("an import's conditions must bind variables", 239)
+    out = {k: evaluated(substitute(v, map_)) for k, v in spec.params.items()}
+    allowed = PARAMETERS.get(spec.format)
+    if allowed is None:
+        raise RuleError(f"no format is named {spec.format}", 220)
+    for k, v in out.items():
+        if k not in allowed:
+            raise RuleError(f"format {spec.format} has no parameter {k}", 221)
+        if isinstance(v, Var):
+            raise RuleError(f"parameter {k} isn't bound", 238)
+    return out
+
+
+def evaluated(term):
+    """Ground text operations in parameters, such as names put together."""
+    if isinstance(term, Op):
+        args = [evaluated(a) for a in term.args]
+        if term.name in ("CONCAT", "STR") and all(isinstance(a, Value) for a in args):
+            return Value("s", "".join(str(a.value) for a in args))
+        raise RuleError("only texts can be computed in parameters")
+    return Tuple_(tuple(evaluated(a) for a in term.items), term.tag) if isinstance(term, Tuple_) and term.tag is None else term
+
+
+def text_of(value, default=None):
+    return default if value is None else value.value if isinstance(value, Value) else value
+
+
+def resource_path(params: dict, base_dir: str) -> str:
+    path = text_of(params.get("resource"))
+    if not path:
+        raise RuleError("an import needs a resource", 222)
+    path = str(path)
+    if path.startswith("file:"):
+        path = re.sub(r"^file:(//)?", "", path)
+    if re.match(r"https?://", path):
+        return fetched(path, params)
+    if re.match(r"[a-z0-9]+://", path) or os.path.isabs(path):
+        return path
+    return path if re.match(r"[a-z0-9]+:/", base_dir) else os.path.join(base_dir, path)
+
+
+def pairs(value) -> list[tuple[str, str]]:
+    return [(str(k), str(text_of(v))) for k, v in value.items] if isinstance(value, Tuple_) else []
+
+
+def fetched(url: str, params: dict) -> str:
+    """A web resource, brought to a local file on the driver with the given headers and parameters."""
+    import tempfile
+    import urllib.parse
+    import urllib.request
+
+    query, post = pairs(params.get("http_get_parameters")), pairs(params.get("http_post_parameters"))
+    if query:
+        url += ("&" if "?" in url else "?") + urllib.parse.urlencode(query)
+    request = urllib.request.Request(url, data=urllib.parse.urlencode(post).encode() if post else None, headers=dict(pairs(params.get("http_headers"))))
+    with urllib.request.urlopen(request, timeout=60) as got, tempfile.NamedTemporaryFile(delete=False, suffix=os.path.basename(urllib.parse.urlparse(url).path)) as out:
+        out.write(got.read())
+        return out.name
+
+
+def load(spark: SparkSession, spec: Import, base_dir: str, arity: int | None) -> tuple[DataFrame, list[str]]:
+    """Rows and column kinds of an import."""
+    from . import dsv, json_triples, rdf, sparql
+
+    params = parameters(spec)
+    if spec.format in DSV:
+        return dsv.read(spark, spec.format, params, base_dir, arity)
+    if spec.format == "json":
+        return json_triples.read(spark, resource_path(params, base_dir))
+    if spec.format == "sparql":
+        return sparql.read(spark, params, arity)
+    if spec.format == "parquet":
+        from ..functions.encoding import adopt
+
+        return adopt(spark.read.parquet(resource_path(params, base_dir)))
+    return rdf.read(spark, spec.format, params, base_dir)

@@ -13,35 +13,43 @@ from ..lang.values import XSD
 FORMATS = {"any": ANY, "string": "s", "int": "n", "double": "d", "float": "f", "skip": None}
 
 
-def any_value(cell: Column) -> Column:
-    """A cell by the look of it: IRI, number, quoted literal, name, full IRI or else text."""
-    c = F.trim(cell)
-    whole = F.regexp_replace(c, r"\.0*$", "")
-    text = lambda k: F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?$', k)
-    plain = F.regexp_replace(text(1), r'\\"', '"')
-    value = lambda k, **parts: F.struct(F.lit(k).alias("t"), *[(parts.get(x) if x in parts else F.lit(None).cast(t)).alias(x) for x, t in (("n", "bigint"), ("d", "double"), ("s", "string"), ("x", "string"))])
-    number = F.when(c.rlike(r"^[+-]?\d+(\.0*)?$"), whole.try_cast("bigint"))
-    typed = text(3)
-    typed_int = F.when(typed.isin(*[XSD + x for x in ("integer", "int", "long", "short", "byte", "nonNegativeInteger")]), text(1).try_cast("bigint"))
-    typed_double = F.when(typed == XSD + "double", finite(text(1).try_cast("double")))
-    return (
-        F.when(cell.isNull() | (c == ""), value("s", s=F.lit("")))
-        .when(c.rlike(r"^<[^<>\s]*>$"), value("i", s=F.regexp_extract(c, r"^<(.*)>$", 1)))
-        .when(number.isNotNull(), value("n", n=number))
-        .when(c.rlike(r"^[+-]?\d+(\.0*)?$"), value("o", s=c, x=F.lit(XSD + "integer")))
-        .when(c.rlike(r"^[+-]?\d*\.\d+$"), value("o", s=c, x=F.lit(XSD + "decimal")))
-        .when(c.rlike(r'^"((?:[^"\\]|\\.)*)"$'), value("s", s=plain))
-        .when(text(2) != "", value("l", s=plain, x=F.lower(text(2))))
-        .when(typed_int.isNotNull(), value("n", n=typed_int))
-        .when(typed_double.isNotNull(), value("d", d=typed_double))
-        .when(typed == XSD + "string", value("s", s=plain))
-        .when((typed == XSD + "boolean") & text(1).isin("true", "false", "1", "0"), value("b", n=text(1).isin("true", "1").cast("bigint")))
-        .when(typed != "", value("o", s=plain, x=typed))
-        .when(c.rlike(r"^\p{L}[\p{L}\p{N}_%]*$"), value("i", s=c))
-        .when(c.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:\S+$") & ~c.contains('"'), value("i", s=c))
-        .otherwise(value("s", s=cell))
+def struct_value(k: str, **parts: Column) -> Column:
+    fields = (("n", "bigint"), ("d", "double"), ("s", "string"), ("x", "string"))
+    return F.struct(F.lit(k).alias("t"), *[(parts.get(f) if f in parts else F.lit(None).cast(t)).alias(f) for f, t in fields])
+
+
+def any_value(df: DataFrame, cell: str, out: str) -> DataFrame:
+    """A cell by the look of it: IRI, number, quoted literal, name, full IRI or else text.
+
+    Its parts are columns of their own first, so that no pattern is matched twice and generated code stays small.
+    """
+    c, plain, tag, kind, whole = (f"{out}_{x}" for x in ("c", "plain", "tag", "kind", "whole"))
+    quoted = r'^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?$'
+    df = df.withColumn(c, F.trim(F.coalesce(F.col(cell), F.lit(""))))
+    first = F.substring(F.col(c), 1, 1)
+    is_quoted = (first == '"') & F.col(c).rlike(quoted)
+    part = lambda k: F.when(is_quoted, F.regexp_extract(c, quoted, k))
+    df = df.withColumns({plain: F.replace(part(1), F.lit('\\"'), F.lit('"')), tag: part(2), kind: part(3), whole: F.when(F.col(c).rlike(r"^[+-]?\d+(\.0*)?$"), F.regexp_replace(c, r"\.0*$", ""))})
+    text, number = F.col(plain), F.col(whole).try_cast("bigint")
+    typed_int = F.when(F.col(kind).isin(*[XSD + x for x in ("integer", "int", "long", "short", "byte", "nonNegativeInteger")]), text.try_cast("bigint"))
+    typed_double = F.when(F.col(kind) == XSD + "double", finite(text.try_cast("double")))
+    value = (
+        F.when(F.col(c) == "", struct_value("s", s=F.lit("")))
+        .when(number.isNotNull(), struct_value("n", n=number))
+        .when(F.col(whole).isNotNull(), struct_value("o", s=F.col(c), x=F.lit(XSD + "integer")))
+        .when(F.col(c).rlike(r"^[+-]?\d*\.\d+$"), struct_value("o", s=F.col(c), x=F.lit(XSD + "decimal")))
+        .when(F.col(tag) != "", struct_value("l", s=text, x=F.lower(tag)))
+        .when(typed_int.isNotNull(), struct_value("n", n=typed_int))
+        .when(typed_double.isNotNull(), struct_value("d", d=typed_double))
+        .when((F.col(kind) == XSD + "boolean") & text.isin("true", "false", "1", "0"), struct_value("b", n=text.isin("true", "1").cast("bigint")))
+        .when((F.col(kind) != "") & (F.col(kind) != XSD + "string"), struct_value("o", s=text, x=F.col(kind)))
+        .when(text.isNotNull(), struct_value("s", s=text))
+        .when(F.col(c).rlike(r"^<[^<>\s]*>$"), struct_value("i", s=F.expr(f"substring({c}, 2, length({c}) - 2)")))
+        .when(F.col(c).rlike(r"^\p{L}[\p{L}\p{N}_%]*$") | F.col(c).rlike(r'^[A-Za-z][A-Za-z0-9+.\-]*:[^\s"]+$'), struct_value("i", s=F.col(c)))
+        .otherwise(struct_value("s", s=F.coalesce(F.col(cell), F.lit(""))))
         .cast(STRUCT)
     )
+    return df.withColumn(out, value).drop(c, plain, tag, kind, whole)
 
 
 def formats_of(params: dict, arity: int | None) -> list[str] | None:
@@ -76,21 +84,25 @@ def read(spark: SparkSession, form: str, params: dict, base_dir: str, arity: int
         df = df.limit(int(limit))
     # a record with too few or too many fields is marked; reading all fields keeps the mark right
     df = df.where(F.col("bad_").isNull())
-    columns, kinds = [], []
+    columns, kinds, partial = [], [], []
     for i, f in enumerate(formats):
         if f == "skip":
             continue
-        cell = F.coalesce(F.col(f"f{i}"), F.lit(""))
-        kind = FORMATS[f]
+        name = f"c{len(columns)}"
         if f == "any":
-            c = any_value(cell)
-        elif f == "string":
-            c = cell
-        elif f == "int":
-            c = F.when(F.trim(cell).rlike(r"^[+-]?\d+$"), F.trim(cell).try_cast("bigint"))
+            df = any_value(df, f"f{i}", name)
         else:
-            c = finite(F.trim(cell).try_cast("double" if f == "double" else "float"))
-        columns.append(c.alias(f"c{len(columns)}"))
-        kinds.append(kind)
-    return df.select(*columns).na.drop(), kinds
-
+            cell = F.coalesce(F.col(f"f{i}"), F.lit(""))
+            if f == "string":
+                c = cell
+            elif f == "int":
+                c = F.when(F.trim(cell).rlike(r"^[+-]?\d+$"), F.trim(cell).try_cast("bigint"))
+            else:
+                c = finite(F.trim(cell).try_cast("double" if f == "double" else "float"))
+            df = df.withColumn(name, c)
+            if f != "string":
+                partial.append(name)
+        columns.append(name)
+        kinds.append(FORMATS[f])
+    df = df.select(*columns)
+    return (df.na.drop(subset=partial) if partial else df), kinds

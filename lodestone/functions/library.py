@@ -83,14 +83,11 @@ def whole_division(x: Column, y: Column) -> Column:
 
 
 def whole_power(x: Column, y: Column) -> Column:
-    """Exact in 64 bits by squaring; undefined for negative exponents and where the result doesn't fit."""
-    small = F.when(y >= 0, y)
-    result, base = F.lit(1).cast("bigint"), x
+    """Exact in 64 bits; undefined for negative exponents and where the result doesn't fit."""
     unit = F.when(x == 1, F.lit(1)).when(x == 0, F.when(y == 0, 1).otherwise(0)).when(x == -1, F.when(y % 2 == 0, 1).otherwise(-1)).cast("bigint")
-    for bit in range(6):
-        result = F.when(F.getbit(small, F.lit(bit)) == 1, F.try_multiply(result, base)).otherwise(result)
-        base = F.try_multiply(base, base)
-    return F.when(y < 0, F.lit(None)).when(x.isin(-1, 0, 1), unit).when(y < 64, result)
+    times = F.array_repeat(x, F.when(y.between(0, 63), y).otherwise(0).cast("int"))
+    product = F.aggregate(times, F.lit(1).cast("bigint"), lambda total, factor: F.try_multiply(total, factor))
+    return F.when(y < 0, F.lit(None)).when(x.isin(-1, 0, 1), unit).when(y < 64, product)
 
 
 def whole_log(x: Column, base: Column) -> Column:

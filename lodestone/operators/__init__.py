@@ -33,13 +33,14 @@ def union(*children: DataFrame) -> DataFrame:
 
 def subtract(main: DataFrame, *others: DataFrame) -> DataFrame:
     """Rows of main that match no row of any other on that other's columns."""
+    columns = main.columns
     for other in others:
         on = [c for c in other.columns if c in main.columns]
         if on:
             main = main.join(other.select(*on).distinct(), on, "left_anti")
         else:  # no shared column: any row at all matches every row
             main = main.withColumn("one_", F.lit(1)).join(F.broadcast(other.limit(1).select(F.lit(1).alias("one_"))), "one_", "left_anti").drop("one_")
-    return main
+    return main.select(*columns)
 
 
 def project_reorder(child: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACED, U64, bounded, buffers, mix, owner, shingle_sets, words
 from .components import components
-from .session import prepare
+from .session import prepare, shuffle_partitions
 
 SLOTS, ROWS = 160, 5  # 32 bands of 5: a pair at similarity 0.8 shares no band with probability below 4e-6
 MAX_ROUNDS = 6
+TILE = 3000  # rows of a bucket that one task sets against as many others
 SLACK = 18  # percent by which a pair's estimated similarity may fall short before it is compared exactly: 4.8 standard deviations
 
 
@@ -69,9 +70,112 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
 
 def alike(slots: int, percent: int) -> str:
     """SQL: the sketches s and ps agree in as many slots as a similarity of percent - SLACK makes likely."""
-    least = max(percent - SLACK, 0) / 100
     parts = [f"bit_count(((s[{i}] ^ ps[{i}]) | shiftrightunsigned(s[{i}] ^ ps[{i}], 1)) & {0x5555555555555555}L)" for i in range(slots // 32)]
-    return f"({' + '.join(parts)}) <= {int(slots * (1 - least - (1 - least) / 4))}"
+    return f"({' + '.join(parts)}) <= {apart(percent, slots)}"
+
+
+def apart(percent: int, slots: int) -> int:
+    """In how many slots two sketches may differ that are still compared exactly."""
+    least = max(percent - SLACK, 0) / 100
+    return int(slots * (1 - least - (1 - least) / 4))
+
+
+def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole (key, a, b) groups of rows sorted by these; a group has at most two tiles of a bucket."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(c).to_numpy() for c in ("key", "a", "b")], 1)
+        cuts = np.flatnonzero(np.append(True, (marks[1:] != marks[:-1]).any(1)))
+        for at, to in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+            mark = tuple(marks[at].tolist())
+            if held and mark != now:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            now = mark
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def open_pairs(group: pa.RecordBatch, percent: int, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a group's rows in different components whose sizes and sketches allow a link, block by block.
+
+    A pair that shares several buckets is met in the first of its bands only.
+    """
+    column = lambda c: group.column(c).to_numpy()
+    ids, roots, n, tile, key = column("id"), column("root"), column("n"), column("t"), group.column("key")[0].as_py()
+    wide = lambda c: group.column(c).flatten().to_numpy().reshape(group.num_rows, -1)
+    sketch, bands = wide("s").view(U64), wide("bands")
+    a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+    left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
+    limit, low = apart(percent, slots), U64(0x5555555555555555)
+    for at in range(0, len(left), 128):
+        block = left[at : at + 128]
+        differ = np.zeros((len(block), len(right)), np.uint16)
+        for w in range(sketch.shape[1]):
+            x = sketch[block, w][:, None] ^ sketch[right, w][None]
+            differ += np.bitwise_count((x | x >> U64(1)) & low)
+        small, large = np.minimum(n[block][:, None], n[right][None]), np.maximum(n[block][:, None], n[right][None])
+        fits = (differ <= limit) & (roots[block][:, None] != roots[right][None]) & (100 * small >= percent * large)
+        if a == b:
+            fits &= ids[block][:, None] > ids[right][None]
+        i, j = np.nonzero(fits)
+        for k in range(0, len(i), 50_000):
+            p, q = block[i[k : k + 50_000]], right[j[k : k + 50_000]]
+            same = bands[p] == bands[q]
+            first = bands[p, same.argmax(1)] == key
+            yield p[first], q[first]
+
+
+def in_open_pairs(batches: Iterable[pa.RecordBatch], percent: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """Ids of the rows that are in any pair to be compared."""
+    for group in groups(batches):
+        used = np.zeros(group.num_rows, bool)
+        for p, q in open_pairs(group, percent, slots):
+            used[p] = used[q] = True
+        yield pa.RecordBatch.from_arrays([group.column("id").filter(pa.array(used))], names=["id"])
+
+
+def links(batches: Iterable[pa.RecordBatch], shingle: int, percent: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """Links between components, confirmed on whole sets: of those that join the same components again one is enough."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    for group in groups(batches):
+        ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
+        parts = [text_sets(pa.array([unzip(z.as_buffer()) for z in group.column("z").slice(at, 256)], pa.large_binary()), shingle) for at in range(0, group.num_rows, 256)]
+        sizes = np.concatenate([np.diff(o) for _, o in parts])
+        keys, begin = np.concatenate([k for k, _ in parts]), np.cumsum(sizes) - sizes
+        above: dict[int, int] = {}
+
+        def find(x: int, above: dict[int, int] = above) -> int:
+            while above.get(x, x) != x:
+                above[x] = above.get(above[x], above[x])
+                x = above[x]
+            return x
+
+        def sets(which: np.ndarray, sizes: np.ndarray = sizes, keys: np.ndarray = keys, begin: np.ndarray = begin) -> tuple[np.ndarray, np.ndarray]:
+            size = sizes[which]
+            to = np.cumsum(size)
+            return keys[np.repeat(begin[which] - to + size, size) + np.arange(int(size.sum()))], np.concatenate([[0], to])
+
+        u, v = [], []
+        for p, q in open_pairs(group, percent, slots):
+            for at in range(0, len(p), 1000):
+                i, j = p[at : at + 1000], q[at : at + 1000]
+                fresh = np.array([find(x) != find(y) for x, y in zip(roots[i].tolist(), roots[j].tolist())], bool)
+                i, j = i[fresh], j[fresh]
+                if not len(i):
+                    continue
+                both = shared(sets(i), sets(j))
+                for x, y in zip(i[ok := 100 * both >= percent * (sizes[i] + sizes[j] - both)].tolist(), j[ok].tolist()):
+                    one, two = find(int(roots[x])), find(int(roots[y]))
+                    if one != two:
+                        above[one] = two
+                        u.append(max(ids[x], ids[y]))
+                        v.append(min(ids[x], ids[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def text_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +244,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Equal sets are one class, found by size and a 128-bit hash; only a class's least id goes on. Banding gives
     buckets. Nothing pairs up a bucket: in each round a bucket's members are compared with one pivot of it, and
-    what proves similar is united; rounds go on, with other pivots, while they unite anything. At last those pairs
-    of a bucket are compared that still lie in different components and whose sketches agree well enough, so no
-    candidate link is left out. Every link is confirmed on whole sets.
+    what proves similar is united; rounds go on, with other pivots, while they unite anything. At last a bucket that
+    still holds several components is cut in tiles, and tiles are set against each other inside tasks, where rows of
+    different components whose sketches agree well enough are compared; only confirmed links leave the task. So no
+    candidate link is left out, and no pair is ever a row. Every link is confirmed on whole sets.
     """
     spark = prepare(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
@@ -199,10 +304,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
                 break
             pairs = pairs.unionByName(united)
             now = open_(labelled(pairs))
-        other = now.select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("s").alias("ps"))
-        fresh = now.join(other, "key").where(f"id > pid and {fits}").select(*edge).distinct().join(tested, ["u", "v"], "left_anti").checkpoint()
-        if fresh.take(1):
-            pairs = pairs.unionByName(confirmed(fresh))
+        sized = now.groupBy("key").agg(F.count(F.lit(1)).alias("size")).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).select("key", "tiles").checkpoint()
+        bands = signed.where("id is not null and n > 0").groupBy(F.col("id").alias("bid"), F.col("n").alias("bn")).agg(F.min(F.struct("s", "bands")).alias("x"))
+        tiled = now.join(sized, "key").withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.select("key", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "t", "id", "n", "root", "s")
+        n_parts = shuffle_partitions(spark)
+        full = tiled.join(bands, (F.col("id") == F.col("bid")) & (F.col("n") == F.col("bn"))).select("key", "a", "b", "t", "id", "n", "root", "s", F.col("x.bands").alias("bands")).checkpoint()
+        together = lambda df: df.repartition(n_parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+        active = together(full).mapInArrow(lambda b: in_open_pairs(b, percent, slots), "id long").distinct().checkpoint()
+        if active.take(1):
+            store = packed.join(active, "id", "left_semi").groupBy("id").agg(F.max("z").alias("z"))
+            found = together(full.join(store, "id")).mapInArrow(lambda b: links(b, shingle, percent, slots), "u long, v long")
+            pairs = pairs.unionByName(found.checkpoint())
     roots = components(copies.unionByName(pairs)).checkpoint()
     return signed.select("id", "n").join(roots, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"), (F.col("id").isNotNull() & (F.coalesce("root", "id") == F.col("id"))).alias("kept")

@@ -71,11 +71,11 @@ class Table:
 
     keys: np.ndarray
     values: np.ndarray
-    bits: int = 20
 
     def __post_init__(self) -> None:
+        self.bits = min(20, len(self.keys).bit_length() + 2)
         top = (self.keys >> U64(64 - self.bits)).astype(np.int64)
-        self.index = np.searchsorted(top, np.arange((1 << self.bits) + 1))
+        self.index = np.searchsorted(top, np.arange((1 << self.bits) + 1)).astype(np.int32)
         self.most = int(np.diff(self.index).max(initial=0))
 
     def find(self, query: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ class Table:
         out = np.full(len(query), -1, np.int64)
         if not len(self.keys):
             return out
-        at = self.index[(query >> U64(64 - self.bits)).astype(np.int64)]
+        at = self.index[(query >> U64(64 - self.bits)).astype(np.int64)].astype(np.int64)
         for j in range(self.most):
             row = np.minimum(at + j, len(self.keys) - 1)
             hit = self.keys[row] == query
@@ -143,22 +143,27 @@ def learn(texts: dict[str, list[str]], calibration: dict[str, list[str]]) -> Mod
     shorter: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     for order in range(1, ORDER + 1):
-        grams, contexts, suffixes, owners = [], [], [], []
-        for number, (signs, bounds, _) in enumerate(parts):
+        grams, contexts, suffixes, owners, times = [], [], [], [], []
+        for number, (signs, bounds, _) in enumerate(parts):  # a language at a time: only distinct n-grams are kept
             real = np.ones(len(signs), bool)
             real[(bounds[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
             at = np.flatnonzero(real)
-            grams.append(ngram_hashes(signs, order)[at])
-            contexts.append(ngram_hashes(signs, order - 1)[at - 1] if order > 1 else np.zeros(len(at), U64))
-            suffixes.append(ngram_hashes(signs, order - 1)[at] if order > 1 else np.zeros(len(at), U64))
+            gram, first, which = numbered(ngram_hashes(signs, order)[at])
+            at = at[first]
+            before = ngram_hashes(signs, order - 1) if order > 1 else np.zeros(len(signs), U64)
+            grams.append(gram)
+            contexts.append(before[at - 1])
+            suffixes.append(before[at])
             owners.append(np.full(len(at), number))
-        gram, first, which = numbered(np.concatenate(grams)) if grams else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            times.append(np.bincount(which, minlength=len(gram)))
+        none = np.zeros(0, U64)
+        gram, first, which = numbered(np.concatenate([none, *grams]))
         table = np.zeros((len(gram), size))
         if size:
-            np.add.at(table, (which, np.concatenate(owners)), 1)
+            table[which, np.concatenate(owners)] = np.concatenate(times)
         keys.append(gram)
-        context_of.append(np.concatenate(contexts)[first] if grams else gram)
-        shorter.append(np.concatenate(suffixes)[first] if grams else gram)
+        context_of.append(np.concatenate([none, *contexts])[first])
+        shorter.append(np.concatenate([none, *suffixes])[first])
         counts.append(table)
     for order in range(ORDER - 1, 0, -1):  # lower orders count the different signs seen before an n-gram
         follow = np.zeros_like(counts[order - 1])

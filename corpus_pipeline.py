@@ -37,10 +37,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as the mix takes them: sources at weights 1, 2, 3 of all words."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """Documents repeated as often as the mix takes them: sources at weights 1, 2, 3 of all words.
+
+    Rows without an id, like rows that repeat one, share the greatest number of copies among them.
+    """
+    copies = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[c] for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_pipeline(spark, tmp_path):
     for row, doc in zip(got, mixed):
         assert row.start == start and row.n_tokens == len(tk.encode(doc.text or "", add_special_tokens=False).ids) + 1
         start += row.n_tokens
+
+
+def test_mixing_stage_keeps_columns_and_rows_without_id(spark):
+    rows = [(None, "a b c d", "en", "u", 1, 5), (1, "e f", "en", "s", 1, 6), (2, None, None, None, None, None), (3, "g h i", "en", "t", 1, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies int")
+    out = corpus_pipeline.mixing(spark, docs, SF)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} <= {None, 1, 3} and any(r.doc_id is None for r in out.collect())
+    assert corpus_pipeline.mixing(spark, docs.limit(0), SF).count() == 0

@@ -13,6 +13,8 @@ from .exchange import rows_of
 from .session import prepare, shuffle_partitions
 
 PIVOTS, PREFIX = 256, 128
+POOL = 8  # distinct vectors looked at for each pivot
+BOUNDS = 32  # a query's nearest pivots whose distances bound those of rows that aren't reranked
 SHARE, LEAST = 0.15, 100  # of a block's rows, by footrule, those that are reranked; and how many at least
 BLOCK = 16_384
 
@@ -29,6 +31,22 @@ def pivot_orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.nda
     return np.argsort(near, axis=1, kind="stable")[:, :prefix]
 
 
+def spread(pool: np.ndarray, n: int) -> np.ndarray:
+    """At most n of the pool's vectors, each the farthest from those before it, no two equal."""
+    chosen = [0]
+    gap = ((pool - pool[0]) ** 2).sum(1)
+    while len(chosen) < n and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((pool - pool[chosen[-1]]) ** 2).sum(1))
+    return pool[chosen]
+
+
+def pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances to every pivot, and by how much rounding can have moved any of a vector's."""
+    x, p = (vectors**2).sum(1), (pivots**2).sum(1)
+    return np.sqrt(np.maximum(x[:, None] + p[None] - 2 * vectors @ pivots.T, 0)), 1e-6 * (np.sqrt(x) + np.sqrt(p.max()))
+
+
 class Postings:
     """Inverted files of a block: for each pivot, the rows that have it in their prefix, and at which rank."""
 
@@ -49,18 +67,20 @@ class Postings:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", n_pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query row, by Euclidean distance, ties to the smaller id.
+    """query_id, rank, vec_id, score: the k nearest rows of each query row, by Euclidean distance, ties to the smaller id.
 
-    Pivots are the ``n_pivots`` rows with the least hash of id (a bounded sample); every row is indexed. Rows whose
+    Pivots are drawn farthest-first from the ``POOL * n_pivots`` distinct vectors with the least hash, so that copies
+    and near copies, however many, take the place of few; every row is indexed. Rows whose
     vector is null, empty, zero or holds a null or non-finite component, and rows without an id, take no part; nor do
     rows of another dimension than most (the larger, if equal). Rows that repeat a query id ask once (the vector that
     sorts first). Of rows with one same vector only the k + 1 of least id can be among a query's k nearest, so the
     index holds those (found by a limited window, without gathering the rest). Fewer candidates than k give fewer rows.
 
     Plan: index rows fall into blocks of about ``block`` by hash of id; the packed queries visit every block; there,
-    postings of the query's pivots give footrule distances, the nearest ``share`` of the block is reranked by exact
-    distance, and the block's best k go on. Work is spread over blocks whatever the data; nothing is broadcast but
-    the pivots.
+    postings of the query's pivots give footrule distances, and the nearest ``share`` of the block is reranked by exact
+    distance. Of the other rows those are measured, too, that the triangle inequality over the query's nearest pivots
+    doesn't put beyond the kth distance found, so none is missed; the block's best k go on. Work is spread over blocks
+    whatever the data; nothing is broadcast but the pivots.
     """
     spark = prepare(vectors.sparkSession)
     own = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -69,8 +89,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     if not sizes:
         return spark.createDataFrame([], result)
     own = own.where(F.size("v") == sizes[0].d)
-    rows = own.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(n_pivots).collect()
-    pivots = np.array([r.v for r in rows])
+    rows = own.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(POOL * n_pivots).collect()
+    pivots = spread(np.array([r.v for r in rows]), n_pivots)
     prefix = min(prefix, len(pivots))
     n_blocks = max(1, -(-sizes[0].n // block))
     indexed = own.select("id", "v").distinct().withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("copy") <= k + 1).drop("copy")
@@ -106,10 +126,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                 order = np.argsort(ids, kind="stable")
                 ids, x = ids[order], x[order]
                 index = Postings(pivot_orders(x, pivots, prefix), len(pivots))
+                away, slack = pivot_distances(x, pivots)
             most = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
             asked, y = unpack(payload)
             out = []
-            for query, vector, own_order in zip(asked.tolist(), y, pivot_orders(y, pivots, prefix)):
+            for query, vector, own_order, own_away, own_slack in zip(asked.tolist(), y, pivot_orders(y, pivots, prefix), *pivot_distances(y, pivots)):
                 close = index.closeness(own_order)
                 near = np.argsort(-close, kind="stable")[:most]
                 gap = x[near] - vector
@@ -117,6 +138,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                 other = ids[near] != query
                 near, score = near[other], score[other]
                 best = np.lexsort((ids[near], score))[:k]
+                rest = np.ones(len(ids), bool)
+                rest[near] = False
+                rest = np.flatnonzero(rest & (ids != query))
+                if len(best) == k:
+                    for pivot in own_order[:BOUNDS].tolist():
+                        rest = rest[~(np.abs(away[rest, pivot] - own_away[pivot]) > score[best[-1]] + slack[rest] + own_slack)]
+                gap = x[rest] - vector
+                near, score = np.append(near, rest), np.append(score, np.sqrt((gap * gap).sum(1)))
+                best = np.lexsort((ids[near], score))[:k]
                 out.append((np.full(len(best), query), ids[near[best]], score[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 

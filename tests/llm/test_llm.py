@@ -205,6 +205,21 @@ def test_nearest(spark):
     assert permutation_index.nearest(df.limit(0), df["vec_id"] > 0).count() == 0
 
 
+@pytest.mark.parametrize("step", [0.0, 1e-3])
+def test_nearest_beside_a_large_group(spark, step):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1800, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[1200:] = x[1200] + step * rng.normal(size=(600, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in permutation_index.nearest(df, df["vec_id"] % 40 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    for q in range(0, 1800, 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert [v for _, v in sorted(got[q])] == [i for _, i in sorted((d[i], i) for i in range(1800) if i != q)[:10]]
+
+
 # 5 quality
 
 

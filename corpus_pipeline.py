@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +25,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, models).where("lang_accepted").select(*docs.columns)
 
 
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with ``__row``, a number of each row's own: its file's number and its place there, so every scan gives the same.
+
+    What isn't a plain scan of files is written to the shared folder first.
+    """
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")]
+    try:
+        docs.select(*place).schema  # noqa: B018
+    except AnalysisException:
+        folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+        docs.write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    files = sorted(r[0] for r in docs.select(place[0]).distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), "__number long, __file string")
+    placed = docs.select("*", *place).join(F.broadcast(numbers), "__file")
+    return placed.select(*docs.columns, (F.shiftleft("__number", 40) + F.col("__at")).alias("__row"))
+
+
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    gone = near_duplicates(docs, shingle=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more), whatever their ids."""
+    rows = keyed(spark, docs)
+    gone = near_duplicates(rows, shingle=5, percent=80, id_col="__row").where("not kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth are words of benchmark windows."""
-    gone = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of which less than a twentieth are words of benchmark windows, whatever their ids."""
+    rows = keyed(spark, docs)
+    gone = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="__row").where("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,17 @@ def test_mixing_stage_keeps_columns_and_rows_without_id(spark):
     out = corpus_pipeline.mixing(spark, docs, SF)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} <= {None, 1, 3} and any(r.doc_id is None for r in out.collect())
     assert corpus_pipeline.mixing(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_judge_each_row(spark, tmp_path):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    text = " ".join(f"w{i * i % 97}" for i in range(60))
+    rows = [(None, bench, "a"), (7, bench, "b"), (7, text, "c"), (7, text, "d"), (None, text, "e"), (None, "x y z", "f"), (8, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for own in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        left = {r.source for r in corpus_pipeline.decontamination(spark, own, SF).collect()}
+        assert left == set("cdefg")
+        left = [r.source for r in corpus_pipeline.near_duplicate_removal(spark, own, SF).collect()]
+        assert len(left) == 4 and {"f", "g"} < set(left) and len({"a", "b"} & set(left)) == 1 and len({"c", "d", "e"} & set(left)) == 1
+        assert corpus_pipeline.decontamination(spark, own.limit(0), SF).count() == 0

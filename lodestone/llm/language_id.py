@@ -209,7 +209,7 @@ def predict(models: Models, column: pa.Array) -> tuple[list[str], np.ndarray, np
         short = 1.5 / np.sqrt(letters[where])  # a short text's entropy strays further
         over = (least - models.limit[best] - short) / models.spread[best]
         score[where] = share / (1 + np.exp(np.clip(over, -50, 50)))
-        accepted[where] = (letters[where] < 20) | (over <= 0) & (share >= 0.5)
+        accepted[where] = (over <= 0) & (share >= 0.5)
         for i, b in zip(where.tolist(), best.tolist()):
             names[i] = models.languages[b]
     return names, score, accepted

@@ -309,6 +309,16 @@ def test_language_models_are_distributions():
         assert (total < 1 + 1e-4).all() and (total > 0.5).all()
 
 
+def test_short_texts_are_rejected_like_long_ones():
+    r = random.Random(3)
+    make = {"en": "the and of with for this".split(), "de": "der und mit nicht ein das".split()}
+    texts = {k: [" ".join(r.choice(w) for _ in range(25)) for _ in range(60)] for k, w in make.items()}
+    models = language_id.learn({k: t[:45] for k, t in texts.items()}, {k: t[45:] for k, t in texts.items()})
+    asked = ["the and of with", "der und nicht", "zqxj kvzq jxqz", "ЖЩЪ ЫЭЮ", "!7 93; " * 400 + "zqxj kvzq jxqz"]
+    names, _, accepted = language_id.predict(models, pa.array(asked, pa.large_string()))
+    assert names[:2] == ["en", "de"] and accepted.tolist() == [True, True, False, False, False]
+
+
 def test_language_id(spark, edge_docs):
     r = random.Random(1)
     make = {"en": "the and of with for this".split(), "fr": "les des avec pour dans être".split(), "de": "der und für mit nicht über".split()}

@@ -14,10 +14,12 @@ HIDDEN = frozenset("head script style textarea title noscript template iframe xm
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th".split())
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>][^\s>]*)))?")
+NAMING = frozenset("class id role itemprop aria-label".split())
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
 
@@ -45,7 +47,7 @@ def attribute_names(raw: str) -> tuple[list[str], bool]:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-        elif key != "style":
+        elif key in NAMING:
             names += [p.lower() for p in NAME_PART.findall(value)]
     return names, hidden
 
@@ -72,6 +74,8 @@ def read(source: str) -> Page:
 
     def add(text: str) -> None:
         nonlocal links
+        if stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)  # a head ends, with or without its end tag, at what cannot be in it
         if text and not stack[-1][2]:
             parts.append(text)
             if in_link:
@@ -104,6 +108,8 @@ def read(source: str) -> Page:
                     break
             continue
         raw = m[3] or m[6] or ""
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
         if name in ENDS_P or name in SAME:
             wanted, limit = SAME.get(name, set()), LIMITS.get(name, set()) | SCOPE - SAME.get(name, set())
             for k in range(len(stack) - 1, 0, -1):

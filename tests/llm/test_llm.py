@@ -141,6 +141,15 @@ def test_decoding_is_consistent():
             assert not any(chosen[j] for j in range(i) if j == b.parent)
 
 
+@pytest.mark.parametrize("source", ["<head><title>t</title><body><p>one two</p>", "<head><meta name=a><p>one two</p>", "<head><style>x</style>one two", '<p aria-hidden="false">one two</p>', '<p title="hidden gem">one two</p>', "<p data-style='display:none'>one two</p>"])
+def test_text_is_not_taken_for_hidden(source):
+    assert dom.read(source).runs == ["one two"]
+
+
+def test_hidden_text_goes():
+    assert dom.read("<head>\n<title>t</title>\n</head><p hidden>a</p><p title=x hidden=''>b</p><p style='display: none'>c</p><P CLASS=Big>d</P>").runs == ["d"]
+
+
 def test_boosting():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 4))

@@ -106,7 +106,9 @@ def derive(engine, fact: Atom, step: int) -> Trace:
             found = premises(engine, rule, head, known, fact, step)
             if found is not None:
                 assignment, atoms = found
-                children = [derive(engine, a, s) for a in atoms if (s := first_step(engine, a)) is not None]
+                derived = {h.pred for r in engine.program.rules for h in r.head}
+                # what no rule derives is given: its step needs no looking up
+                children = [derive(engine, a, s) for a in atoms if (s := first_step(engine, a) if a.pred in derived else 0) is not None]
                 return Trace(fact, rule, assignment, children)
     return Trace(fact)
 
@@ -129,12 +131,13 @@ def premises(engine, rule: Rule, head: Atom, known: dict[Var, Value], fact: Atom
     if any(plan.aggregate_of(t) for t in head.args):
         groups = {v: known[v] for v in known}
         body = [substitute(x, groups) for x in plain]
-        bound = plan.body(Rule([], body), before, lambda a: engine._relation(a.pred))
-        rows = bound.df.limit(20).collect()  # the rows of one group: a sample stands for them
-        atoms = []
-        for r in rows:
-            atoms += ground(body, bound, r)
-        return (({v.name: x for v, x in known.items()}, list(dict.fromkeys(atoms))) if rows else None)
+        whole = [Op("EQUALITY", (substitute(t, groups), v)) for t, v in zip(head.args, fact.args) if isinstance(t, Op) and not plan.aggregate_of(t)]
+        bound = plan.body(Rule([], body + whole), before, lambda a: engine._relation(a.pred))
+        rows, atoms = 0, {}
+        for r in bound.df.toLocalIterator():  # every row of the group, a partition at a time
+            rows += 1
+            atoms.update(dict.fromkeys(ground(body, bound, r)))
+        return ({v.name: x for v, x in known.items()}, list(atoms)) if rows else None
     body = [substitute(x, known) for x in plain]
     extra = []
     for t, v in zip(head.args, fact.args):

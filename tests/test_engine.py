@@ -118,6 +118,13 @@ def test_trace(spark):
     assert found.json() and found.graphml().count("<node") == 4
 
 
+def test_trace_of_an_aggregate_is_whole(spark):
+    facts = " ".join(f"a({1 + (i > 25)}, {i})." for i in range(1, 31))
+    _, engine = run(spark, facts + " c(?g, #count(?x)) :- a(?g, ?x). d(?g + 1, #sum(?x)) :- a(?g, ?x).", tracing=True)
+    for fact, group in (("c(1, 25)", range(1, 26)), ("d(2, 325)", range(1, 26)), ("d(3, 140)", range(26, 31))):
+        assert sorted(c.fact.args[1].value for c in engine.trace(fact).children) == list(group)
+
+
 def test_plan_pushes_filters_and_columns(spark, tmp_path):
     spark.range(10).selectExpr("id as a", "id as b", "id as c").write.parquet(str(tmp_path / "t"))
     engine = Engine(spark).register("t", spark.read.parquet(str(tmp_path / "t")))

@@ -10,14 +10,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SPACED, U64, bounded, buffers, mix, owner, shingle_sets, words
+from .arrays import SPACED, U64, bounded, buffers, mix, numbered, owner, shingle_sets, spread, words
 from .components import components
-from .session import prepare, shuffle_partitions
+from .session import located, prepare, shuffle_partitions
 
 SLOTS, ROWS = 160, 5  # 32 bands of 5: a pair at similarity 0.8 shares no band with probability below 4e-6
 MAX_ROUNDS = 6
-TILE = 3000  # rows of a bucket that one task sets against as many others
-SLACK = 18  # percent by which a pair's estimated similarity may fall short before it is compared exactly: 4.8 standard deviations
+TILE, TILE_SHINGLES = 3000, 1_500_000  # rows and shingles of a cluster that one task holds
 
 
 def superminhash(keys: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -61,33 +60,14 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Two bits of each slot, 32 slots a word."""
-    n, slots = signatures.shape
-    bits = (mix(signatures) & U64(3)).reshape(n, slots // 32, 32)
-    return np.bitwise_or.reduce(bits << (np.arange(32, dtype=U64) * U64(2)), axis=2).view(np.int64)
-
-
-def alike(slots: int, percent: int) -> str:
-    """SQL: the sketches s and ps agree in as many slots as a similarity of percent - SLACK makes likely."""
-    parts = [f"bit_count(((s[{i}] ^ ps[{i}]) | shiftrightunsigned(s[{i}] ^ ps[{i}], 1)) & {0x5555555555555555}L)" for i in range(slots // 32)]
-    return f"({' + '.join(parts)}) <= {apart(percent, slots)}"
-
-
-def apart(percent: int, slots: int) -> int:
-    """In how many slots two sketches may differ that are still compared exactly."""
-    least = max(percent - SLACK, 0) / 100
-    return int(slots * (1 - least - (1 - least) / 4))
-
-
-def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole (key, a, b) groups of rows sorted by these; a group has at most two tiles of a bucket."""
+def groups(batches: Iterable[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows that are sorted by the long columns ``by``."""
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks = np.stack([batch.column(c).to_numpy() for c in ("key", "a", "b")], 1)
+        marks = np.stack([batch.column(c).to_numpy() for c in by], 1)
         cuts = np.flatnonzero(np.append(True, (marks[1:] != marks[:-1]).any(1)))
         for at, to in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
             mark = tuple(marks[at].tolist())
@@ -100,91 +80,84 @@ def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def open_pairs(group: pa.RecordBatch, percent: int, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a group's rows in different components whose sizes and sketches allow a link, block by block.
+def text_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = buffers(column)
+    _, _, hashes, by_doc = words(data, offsets, SPACED)
+    return shingle_sets(hashes, by_doc, shingle)
 
-    A pair that shares several buckets is met in the first of its bands only.
-    """
-    column = lambda c: group.column(c).to_numpy()
-    ids, roots, n, tile, key = column("id"), column("root"), column("n"), column("t"), group.column("key")[0].as_py()
-    wide = lambda c: group.column(c).flatten().to_numpy().reshape(group.num_rows, -1)
-    sketch, bands = wide("s").view(U64), wide("bands")
-    a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-    left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
-    limit, low = apart(percent, slots), U64(0x5555555555555555)
-    for at in range(0, len(left), 128):
-        block = left[at : at + 128]
-        differ = np.zeros((len(block), len(right)), np.uint16)
-        for w in range(sketch.shape[1]):
-            x = sketch[block, w][:, None] ^ sketch[right, w][None]
-            differ += np.bitwise_count((x | x >> U64(1)) & low)
-        small, large = np.minimum(n[block][:, None], n[right][None]), np.maximum(n[block][:, None], n[right][None])
-        fits = (differ <= limit) & (roots[block][:, None] != roots[right][None]) & (100 * small >= percent * large)
-        if a == b:
-            fits &= ids[block][:, None] > ids[right][None]
-        i, j = np.nonzero(fits)
-        for k in range(0, len(i), 50_000):
-            p, q = block[i[k : k + 50_000]], right[j[k : k + 50_000]]
-            same = bands[p] == bands[q]
-            first = bands[p, same.argmax(1)] == key
-            yield p[first], q[first]
-
-
-def in_open_pairs(batches: Iterable[pa.RecordBatch], percent: int, slots: int) -> Iterator[pa.RecordBatch]:
-    """Ids of the rows that are in any pair to be compared."""
-    for group in groups(batches):
-        used = np.zeros(group.num_rows, bool)
-        for p, q in open_pairs(group, percent, slots):
-            used[p] = used[q] = True
-        yield pa.RecordBatch.from_arrays([group.column("id").filter(pa.array(used))], names=["id"])
-
-
-def links(batches: Iterable[pa.RecordBatch], shingle: int, percent: int, slots: int) -> Iterator[pa.RecordBatch]:
-    """Links between components, confirmed on whole sets: of those that join the same components again one is enough."""
+
+def packed_sets(z: pa.Array, shingle: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of compressed texts, a few texts at a time."""
     unzip = zstandard.ZstdDecompressor().decompress
-    for group in groups(batches):
-        ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
-        parts = [text_sets(pa.array([unzip(z.as_buffer()) for z in group.column("z").slice(at, 256)], pa.large_binary()), shingle) for at in range(0, group.num_rows, 256)]
-        sizes = np.concatenate([np.diff(o) for _, o in parts])
-        keys, begin = np.concatenate([k for k, _ in parts]), np.cumsum(sizes) - sizes
-        above: dict[int, int] = {}
-
-        def find(x: int, above: dict[int, int] = above) -> int:
-            while above.get(x, x) != x:
-                above[x] = above.get(above[x], above[x])
-                x = above[x]
-            return x
-
-        def sets(which: np.ndarray, sizes: np.ndarray = sizes, keys: np.ndarray = keys, begin: np.ndarray = begin) -> tuple[np.ndarray, np.ndarray]:
-            size = sizes[which]
-            to = np.cumsum(size)
-            return keys[np.repeat(begin[which] - to + size, size) + np.arange(int(size.sum()))], np.concatenate([[0], to])
+    parts = [text_sets(pa.array([unzip(x.as_buffer()) for x in z.slice(at, step)], pa.large_binary()), shingle) for at in range(0, len(z), step)]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
 
+
+def unite(keys: np.ndarray, offsets: np.ndarray, label: np.ndarray, percent: int, pivots: np.ndarray) -> np.ndarray:
+    """Labels after every pivot has been set against all sets of another label, on whole sets.
+
+    Intersections come from postings: a pivot's keys name the sets that hold them. Their number is at most that
+    of all keys, so a pivot costs no more than a look at every set.
+    """
+    sizes, m = np.diff(offsets), len(offsets) - 1
+    _, _, number = numbered(keys)
+    holder = owner(offsets)[np.argsort(number, kind="stable")]
+    count = np.bincount(number)
+    begin = np.cumsum(count) - count
+    for i in pivots.tolist():
+        other = label != label[i]
+        if not other.any():
+            break
+        k = number[offsets[i] : offsets[i + 1]]
+        run, at = spread(count[k])
+        both = np.bincount(holder[begin[k][run] + at], minlength=m)
+        linked = other & (100 * both >= percent * (sizes + sizes[i] - both))
+        if linked.any():
+            label[np.isin(label, label[linked])] = label[i]
+    return label
+
+
+def settle(batches: Iterable[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(row, root) of the rows of whole clusters that have a link; root is the least row that links reach."""
+    for group in groups(batches, ("cluster",)):
+        row = np.sort(group.column("row").to_numpy())
+        group = group.take(pa.array(np.argsort(group.column("row").to_numpy())))
+        keys, offsets = packed_sets(group.column("z"), shingle)
+        _, first, number = numbered(unite(keys, offsets, np.arange(len(row)), percent, np.arange(len(row))))
+        linked = np.bincount(number)[number] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(row[linked]), pa.array(row[first][number][linked])], names=["row", "root"])
+
+
+def against_pivots(batches: Iterable[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) of rows to the pivot that comes first in their (pivot, salt) group, on whole sets."""
+    for group in groups(batches, ("pivot", "salt")):
+        group = group.take(pa.array(np.argsort(group.column("member").to_numpy(), kind="stable")))
         u, v = [], []
-        for p, q in open_pairs(group, percent, slots):
-            for at in range(0, len(p), 1000):
-                i, j = p[at : at + 1000], q[at : at + 1000]
-                fresh = np.array([find(x) != find(y) for x, y in zip(roots[i].tolist(), roots[j].tolist())], bool)
-                i, j = i[fresh], j[fresh]
-                if not len(i):
-                    continue
-                both = shared(sets(i), sets(j))
-                for x, y in zip(i[ok := 100 * both >= percent * (sizes[i] + sizes[j] - both)].tolist(), j[ok].tolist()):
-                    one, two = find(int(roots[x])), find(int(roots[y]))
-                    if one != two:
-                        above[one] = two
-                        u.append(max(ids[x], ids[y]))
-                        v.append(min(ids[x], ids[y]))
+        (pivot, _), first = packed_sets(group.column("z").slice(0, 1), shingle), group.column("row")[0].as_py()
+        for at in range(1, group.num_rows, 64):
+            part = group.slice(at, 64)
+            keys, offsets = packed_sets(part.column("z"), shingle)
+            hit = np.concatenate([[0], np.cumsum(np.isin(keys, pivot, assume_unique=False))])
+            both, sizes = hit[offsets[1:]] - hit[offsets[:-1]], np.diff(offsets)
+            ok = 100 * both >= percent * (sizes + len(pivot) - both)
+            u += part.column("row").to_numpy()[ok].tolist()
+            v += [first] * int(ok.sum())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def text_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = buffers(column)
-    _, _, hashes, by_doc = words(data, offsets, SPACED)
-    return shingle_sets(hashes, by_doc, shingle)
+def across_tiles(batches: Iterable[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) between the roots of a left tile's rows and of a right tile's, on whole sets."""
+    for group in groups(batches, ("cluster", "a", "b")):
+        roots, left = group.column("root").to_numpy(), group.column("left").to_numpy(zero_copy_only=False)
+        keys, offsets = packed_sets(group.column("z"), shingle)
+        own, first, label = numbered(roots)
+        after = unite(keys, offsets, label, percent, np.flatnonzero(left))[first]
+        moved = after != np.arange(len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[after[moved]])], names=["u", "v"])
 
 
 def sign(batches: Iterable[pa.RecordBatch], shingle: int, slots: int, rows: int) -> Iterator[pa.RecordBatch]:
+    names = ["row", "file", "at", "id"]
     for batch in bounded(batches, "text"):
         keys, offsets = text_sets(batch.column("text"), shingle)
         sizes = np.diff(offsets)
@@ -193,130 +166,140 @@ def sign(batches: Iterable[pa.RecordBatch], shingle: int, slots: int, rows: int)
             total = np.zeros(len(keys) + 1, U64)
             np.cumsum(mix(keys ^ U64(salt << 20)), out=total[1:])
             sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
-        signature = superminhash(keys, offsets, slots)
-        bands = band_keys(signature, rows)
-        sketch = sketches(signature)
+        bands = band_keys(superminhash(keys, offsets, slots), rows)
         some = np.where(sizes > 0, bands.shape[1], 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some)]), pa.int32()), pa.array(bands[sizes > 0].reshape(-1)))
-        sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * sketch.shape[1], pa.int32()), pa.array(sketch.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), lists, sketch], names=["id", "n", "a", "b", "bands", "s"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), lists], names=[*names, "n", "a", "b", "bands"])
+
 
+def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    zip_ = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        z = [zip_(b"" if t is None else t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("at"), pa.array(z, pa.binary())], names=["file", "at", "z"])
 
-def shared(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of the i-th sets of both sides (at most 4096 pairs)."""
-    both = [owner(o).astype(U64) << U64(52) | k for k, o in (left, right)]
-    both = np.concatenate(both)
-    both.sort()
-    twice = both[1:][both[1:] == both[:-1]] >> U64(52)
-    return np.bincount(twice.astype(np.int64), minlength=len(left[1]) - 1)
 
+def large_links(texts: DataFrame, placed: DataFrame, shingle: int, percent: int, tile: int, tile_shingles: int) -> DataFrame:
+    """(row, root) of the linked rows of clusters that are too large for a task: pivots first, then tiles.
 
-def verify(batches: Iterable[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs whose whole shingle sets are similar enough; texts arrive compressed."""
-    unzip = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        at, size = 0, 0
-        u, v, zu, zv = (batch.column(c) for c in ("u", "v", "zu", "zv"))
-        cuts = [0]
-        for i in range(batch.num_rows):
-            size += len(zu[i].as_buffer()) + len(zv[i].as_buffer())
-            if size > 1 << 19 or i + 1 - cuts[-1] >= 2000:
-                cuts.append(i + 1)
-                size = 0
-        for at, to in zip(cuts, [*cuts[1:], batch.num_rows]):
-            if to == at:
-                continue
-            sides = [text_sets(pa.array([unzip(x.as_buffer()) for x in z.slice(at, to - at)], pa.large_binary()), shingle) for z in (zu, zv)]
-            both = shared(*sides)
-            union = np.diff(sides[0][1]) + np.diff(sides[1][1]) - both
-            keep = pa.array((100 * both >= percent * union) & (both > 0))
-            yield pa.RecordBatch.from_arrays([u.slice(at, to - at).filter(keep), v.slice(at, to - at).filter(keep)], names=["u", "v"])
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
+    texts: row, cluster, n and z of the clusters' rows; placed: key and row of their buckets. In each round every
+    bucket that holds several components names a pivot, and every row meets the pivot that most of its buckets
+    name; a pivot's text goes out once for some 1,000 rows. Rounds go on while they unite rows. Then the rows
+    outside a cluster's largest component meet all of the cluster's rows, tile by tile.
+    """
+    spark = texts.sparkSession
+    n_parts = shuffle_partitions(spark)
+    plain = texts.select("row", "cluster", "n")
+    buckets = placed.join(plain, "row").select("key", "row", "n")
+    ranked = buckets.join(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+    degree = ranked.groupBy("row").agg(F.sum("size").alias("degree"))
+    buckets = buckets.join(degree, "row").select("key", "row", "n", "degree").checkpoint()
+    edges = spark.createDataFrame([], "u long, v long")
+    now = buckets.withColumn("root", F.col("row"))
+    for turn in range(MAX_ROUNDS):
+        first = -F.col("degree") if turn == 0 else F.xxhash64("row", F.lit(turn))
+        named = now.groupBy("key").agg(F.min(F.struct(first.alias("p"), F.col("row").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))).alias("x")).select("key", "x.pivot", "x.pn", "x.proot")
+        meets = now.join(named, "key").where(f"root <> proot and 100 * least(n, pn) >= {percent} * greatest(n, pn)").groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("times"))
+        meets = meets.groupBy("row").agg(F.max(F.struct("times", "pivot")).alias("x")).select("row", "x.pivot").checkpoint()
+        salts = meets.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("long").alias("salts"))
+        members = meets.join(salts, "pivot").join(texts, "row").select("pivot", F.pmod(F.xxhash64("row"), "salts").alias("salt"), F.lit(1).alias("member"), "row", "z")
+        heads = salts.join(texts, F.col("pivot") == F.col("row")).select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), "row", "z")
+        together = members.unionByName(heads).repartition(n_parts, "pivot", "salt").sortWithinPartitions("pivot", "salt")
+        found = together.mapInArrow(lambda b: against_pivots(b, shingle, percent), "u long, v long").checkpoint()
+        if not found.take(1):
+            break
+        edges = edges.unionByName(found)
+        now = buckets.join(components(edges), F.col("row") == F.col("node"), "left").select("key", "row", "n", "degree", F.coalesce("root", "row").alias("root"))
+        open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        now = now.join(open_, "key", "left_semi").checkpoint()
+    roots = components(edges).checkpoint()
+    rooted = plain.join(roots, F.col("row") == F.col("node"), "left").select("row", "cluster", "n", F.coalesce("root", "row").alias("root")).checkpoint()
+    top = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("x")).select("cluster", F.col("x.root").alias("top"))
+    sided = rooted.join(top, "cluster").withColumn("out", (F.col("root") != F.col("top")).cast("int"))
+    tiles = lambda rows, shingles: F.ceil(F.greatest(rows / tile, shingles / tile_shingles)).cast("long")
+    counts = sided.groupBy("cluster").agg(tiles(F.sum("out"), F.sum(F.col("out") * F.col("n"))).alias("lefts"), tiles(F.count(F.lit(1)), F.sum("n")).alias("rights")).where("lefts > 0")
+    spots = sided.join(counts, "cluster")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = spots.where("out = 1").select("row", "root", "cluster", F.pmod(F.xxhash64("row"), "lefts").alias("a"), upto("rights").alias("b"), F.lit(True).alias("left"))
+    right = spots.select("row", "root", "cluster", upto("lefts").alias("a"), F.pmod(F.xxhash64("row"), "rights").alias("b"), F.lit(False).alias("left"))
+    dealt = left.unionByName(right).join(texts.select("row", "z"), "row").repartition(n_parts, "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+    more = dealt.mapInArrow(lambda b: across_tiles(b, shingle, percent), "u long, v long")
+    return components(edges.unionByName(more)).select(F.col("node").alias("row"), "root")
+
+
+def linked(docs: DataFrame, shingle: int, percent: int, slots: int, rows: int, tile: int, tile_shingles: int, null_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(row, file, at, id, n of every row of docs; row, root of the rows that have a link, but for roots).
+
+    docs has file and at (where a row lies), id and text. Rows are numbered once; root is the least row that links
+    reach. A row of null id links only if ``null_ids``.
+    """
+    spark = docs.sparkSession
+    n_parts = shuffle_partitions(spark)
+    signed = (
+        docs.withColumn("row", F.monotonically_increasing_id())
+        .mapInArrow(lambda b: sign(b, shingle, slots, rows), "row long, file long, at long, id long, n long, a long, b long, bands array<long>")
+        .checkpoint()
+    )
+    some = signed.where("n > 0" if null_ids else "n > 0 and id is not null")
+    classes = some.groupBy("a", "b", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b", "n", "rep")
+    copies = some.select("a", "b", "n", "row").join(classes, ["a", "b", "n"]).where("row <> rep").select("row", "rep").checkpoint()
+
+    entries = some.select(F.explode("bands").alias("key"), "row", "a")
+    busy = entries.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key")
+    placed = entries.select("key", "row").join(busy, "key").join(copies.select("row"), "row", "left_anti").select("key", "row").checkpoint()
+    lead = placed.groupBy("key").agg(F.min("row").alias("lead"))
+    clusters = components(placed.join(lead, "key").select(F.col("row").alias("u"), F.col("lead").alias("v"))).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+    roster = some.select("row", "file", "at", "n").join(clusters, "row").checkpoint()
+    sizes = roster.groupBy("cluster").agg(((F.count(F.lit(1)) > tile) | (F.sum("n") > tile_shingles)).alias("large"))
+    texts = docs.select("file", "at", "text").mapInArrow(pack, "file long, at long, z binary").join(roster.join(sizes, "cluster"), ["file", "at"]).select("row", "cluster", "n", "large", "z").checkpoint()
+    together = texts.where("not large").select("cluster", "row", "z").repartition(n_parts, "cluster").sortWithinPartitions("cluster")
+    labels = together.mapInArrow(lambda b: settle(b, shingle, percent), "row long, root long")
+    large = texts.where("large").drop("large")
+    if large.take(1):
+        labels = labels.unionByName(large_links(large, placed, shingle, percent, tile, tile_shingles))
+    labels = labels.checkpoint()
+    of_copies = copies.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("root"))
+    return signed.drop("a", "b", "bands"), labels.where("row <> root").unionByName(of_copies).checkpoint()
+
+
+def distinct_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", slots: int = SLOTS, rows: int = ROWS, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """docs without the rows that are near copies of an earlier one: one row of each group stays, whatever its id.
+
+    Links are those of near_duplicates. Every column stays as it is. Empty and null texts link with nothing and stay.
+    """
+    spark = prepare(docs.sparkSession)
+    placed, file, at = located(docs)
+    own = placed.select(F.col(file).alias("file"), F.col(at).alias("at"), F.lit(None).cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    signed, labels = linked(own, shingle, percent, slots, rows, tile, tile_shingles, True)
+    gone = signed.join(labels, "row").select(F.col("file").alias(file), F.col("at").alias(at))
+    return placed.join(gone, [file, at], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, rows: int = ROWS, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their sets of ``shingle``-word shingles
     (words ``[^\\x20\\x09-\\x0D]+``, A-Z folded; a shorter text is one shingle; an empty or null one has none
-    and no link). component_id is the least id that links reach and kept marks the row that bears it. Rows that
-    repeat an id are one node and each get a row; a row without an id links with nothing, has no component and
-    isn't kept. Other columns are ignored; an empty table gives an empty result.
-
-    Equal sets are one class, found by size and a 128-bit hash; only a class's least id goes on. Banding gives
-    buckets. Nothing pairs up a bucket: in each round a bucket's members are compared with one pivot of it, and
-    what proves similar is united; rounds go on, with other pivots, while they unite anything. At last a bucket that
-    still holds several components is cut in tiles, and tiles are set against each other inside tasks, where rows of
-    different components whose sketches agree well enough are compared; only confirmed links leave the task. So no
-    candidate link is left out, and no pair is ever a row. Every link is confirmed on whole sets.
+    and no link). component_id is the least id that links reach and kept marks the rows that bear it. Rows that
+    repeat an id are one node, which has the links of each of its texts, and each get a row; a row without an id
+    links with nothing, has no component and isn't kept. Other columns are ignored; an empty table gives an empty
+    result.
+
+    Rows of equal sets are one class, found by size and a 128-bit hash; only its first row goes on. Banding puts
+    rows in buckets; only the keys go through that shuffle, and only rows of buckets that hold different sets are
+    looked at again. Buckets that share rows form clusters; a cluster of up to ``tile`` rows and ``tile_shingles``
+    shingles is settled whole in one task, where intersections are counted exactly on whole sets; large_links does
+    the others. So a candidate's text moves twice, no pair is ever a row, and banding is the only approximation.
+    Shingles are compared as 52-bit hashes.
     """
-    spark = prepare(docs.sparkSession)
-    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    signed = own.mapInArrow(lambda b: sign(b, shingle, slots, rows), "id long, n long, a long, b long, bands array<long>, s array<long>").checkpoint()
-    some = signed.where("id is not null and n > 0")
-    classes = some.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times").checkpoint()
-    ranked = some.join(classes, ["a", "b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "bands")
-    copies = ranked.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
-
-    keyed = ranked.where("id = rep").select("id", "n", F.explode("bands").alias("key")).distinct().checkpoint()
-    busy = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size").checkpoint()
-    placed = keyed.join(busy, "key")
-    known = signed.where("id is not null and n > 0").select(F.col("id").alias("sid"), "n", "s").groupBy("sid", "n").agg(F.min("s").alias("s"))
-    # what shares buckets with most others stands amid a group: it makes the best pivot
-    ranks = placed.groupBy("id", "n").agg(F.sum("size").alias("degree")).join(known.withColumnRenamed("n", "sn"), (F.col("id") == F.col("sid")) & (F.col("n") == F.col("sn"))).select("id", "n", "degree", "s").checkpoint()
-    members = placed.select("key", "id", "n").join(ranks, ["id", "n"]).select("key", "id", "n", "degree", "s").checkpoint()
-    n_wanted = ranks.count()
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
-            z = [zip_(b"" if t is None else t.encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(z, pa.binary())], names=["id", "z"])
-
-    pairs = spark.createDataFrame([], "u long, v long")
-    if n_wanted:
-        packed = own.where("id is not null").mapInArrow(pack, "id long, z binary")
-
-        def confirmed(candidates: DataFrame) -> DataFrame:
-            ids = candidates.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-            store = packed.join(ids, "id", "left_semi").groupBy("id").agg(F.max("z").alias("z")).checkpoint()
-            left, right = store.select(F.col("id").alias("u"), F.col("z").alias("zu")), store.select(F.col("id").alias("v"), F.col("z").alias("zv"))
-            return candidates.join(right, "v").join(left, "u").select("u", "v", "zu", "zv").mapInArrow(lambda b: verify(b, shingle, percent), "u long, v long").checkpoint()
-
-        def labelled(pairs: DataFrame) -> DataFrame:
-            roots = components(pairs).checkpoint()
-            return members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "degree", "s", F.coalesce("root", "id").alias("root"))
-
-        def open_(now: DataFrame) -> DataFrame:
-            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            return now.join(mixed, "key", "left_semi").checkpoint()
-
-        fits = f"id <> pid and root <> proot and 100 * least(n, pn) >= {percent} * greatest(n, pn) and {alike(slots, percent)}"
-        edge = [F.greatest("id", "pid").alias("u"), F.least("id", "pid").alias("v")]
-        tested = pairs
-        now = members.withColumn("root", F.col("id"))
-        for turn in range(MAX_ROUNDS):
-            first = -F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            pivot = now.groupBy("key").agg(F.min(F.struct(first.alias("p"), F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("root").alias("proot"), F.col("s").alias("ps"))).alias("x")).select("key", "x.pid", "x.pn", "x.proot", "x.ps").checkpoint()
-            fresh = now.join(pivot, "key").where(fits).select(*edge).distinct().join(tested, ["u", "v"], "left_anti").checkpoint()
-            tested = tested.unionByName(fresh)
-            united = confirmed(fresh) if fresh.take(1) else fresh
-            if not united.take(1):
-                break
-            pairs = pairs.unionByName(united)
-            now = open_(labelled(pairs))
-        sized = now.groupBy("key").agg(F.count(F.lit(1)).alias("size")).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).select("key", "tiles").checkpoint()
-        bands = signed.where("id is not null and n > 0").groupBy(F.col("id").alias("bid"), F.col("n").alias("bn")).agg(F.min(F.struct("s", "bands")).alias("x"))
-        tiled = now.join(sized, "key").withColumn("t", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        tiled = tiled.select("key", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "t", "id", "n", "root", "s")
-        n_parts = shuffle_partitions(spark)
-        full = tiled.join(bands, (F.col("id") == F.col("bid")) & (F.col("n") == F.col("bn"))).select("key", "a", "b", "t", "id", "n", "root", "s", F.col("x.bands").alias("bands")).checkpoint()
-        together = lambda df: df.repartition(n_parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
-        active = together(full).mapInArrow(lambda b: in_open_pairs(b, percent, slots), "id long").distinct().checkpoint()
-        if active.take(1):
-            store = packed.join(active, "id", "left_semi").groupBy("id").agg(F.max("z").alias("z"))
-            found = together(full.join(store, "id")).mapInArrow(lambda b: links(b, shingle, percent, slots), "u long, v long")
-            pairs = pairs.unionByName(found.checkpoint())
-    roots = components(copies.unionByName(pairs)).checkpoint()
-    return signed.select("id", "n").join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"), (F.col("id").isNotNull() & (F.coalesce("root", "id") == F.col("id"))).alias("kept")
-    )
+    prepare(docs.sparkSession)
+    placed, file, at = located(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")))
+    own = placed.select(F.col(file).alias("file"), F.col(at).alias("at"), "id", "text")
+    signed, labels = linked(own, shingle, percent, slots, rows, tile, tile_shingles, False)
+    ids = signed.select("row", "id", "n")
+    both = labels.unionByName(labels.select(F.col("root").alias("row"), "root").distinct()).join(ids, "row").select("root", "id").checkpoint()
+    named = both.join(both.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+    if ids.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").take(1):
+        named = components(named.select(F.col("id").alias("u"), F.col("component").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("component"))
+    component = F.coalesce("component", "id")
+    return ids.join(named, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNotNull() & (component == F.col("id"))).alias("kept"))

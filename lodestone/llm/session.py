@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,6 +25,31 @@ def shared_folder(spark: SparkSession) -> str:
     return prepare(spark).sparkContext.getCheckpointDir()
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column bears it (names are told apart without regard to case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the hash of a row's file and its place there, each row's own and the same in every scan.
+
+    What isn't a plain scan of files, perhaps projected or filtered, is written to the shared folder first.
+    """
+    plan, plain = docs._jdf.queryExecution().analyzed(), True
+    while plain and plan.children().size():
+        plain = plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1 and plan.deterministic()
+        plan = plan.children().apply(0)
+    if not plain or not plan.getClass().getSimpleName().startswith("LogicalRelation") or not plan.metadataOutput().size():
+        folder = f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+        docs.write.parquet(folder)
+        docs = docs.sparkSession.read.parquet(folder)
+    file, at = free("__file", docs.columns), free("__at", docs.columns)
+    return docs.select(*[f"`{c}`" for c in docs.columns], F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)), file, at
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -367,10 +367,37 @@ def brute_components(docs, k, percent=80):
     return sorted(((i, len(s), find(i), find(i) == i) for i, s in sets.items()), key=str)
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates(spark, k):
+def drifting(seed, n):
+    """Copies that each change one word of the one before, so that only neighbours are alike."""
+    r = random.Random(seed)
+    words = prose(r, 40).split(" ")
+    texts = []
+    for i in range(n):
+        words[r.randrange(40)] = f"D{i}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("k, tile", [(2, 3000), (5, 3000), (2, 7), (5, 7)])
+def test_near_duplicates(spark, k, tile):
     docs = corpus(12, 90) + [(500, None), (501, ""), (502, "a"), (503, "A "), (504, "a b")]
-    assert rows(near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k)) == brute_components(docs, k)
+    docs += [(600 + i, t) for i, t in enumerate(drifting(4, 40))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(near_duplicates.near_duplicates(frame, k, tile=tile)) == brute_components(docs, k)
+
+
+def test_near_duplicates_of_repeated_ids(spark, tmp_path):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "c d e f"), (None, a), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(frame, 2).collect()), key=str)
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (None, None, False)]
+    clash = frame.selectExpr("doc_id", "text", "doc_id as row", "text as __file", "doc_id as `a.b`")
+    clash.write.parquet(str(tmp_path / "docs"))
+    for own in (clash, spark.read.parquet(str(tmp_path / "docs"))):
+        left = near_duplicates.distinct_rows(own, 2)
+        assert left.columns == clash.columns and sorted((r.text or "")[:2] for r in left.collect()) == ["", "a0", "b0", "c "]
+        assert near_duplicates.near_duplicates(own, 2).count() == 7
 
 
 def test_near_duplicate_edges(spark, edge_docs):

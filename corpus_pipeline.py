@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm.decontamination import decontaminate
+from lodestone.llm.decontamination import uncontaminated
 from lodestone.llm.language_id import identify, learn_models
-from lodestone.llm.mixing import mix_sources
-from lodestone.llm.near_duplicates import near_duplicates
+from lodestone.llm.mixing import mixed_rows
+from lodestone.llm.near_duplicates import distinct_rows
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.session import shared_folder, table
 from lodestone.llm.token_output import token_output
@@ -25,46 +23,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, models).where("lang_accepted").select(*docs.columns)
 
 
-def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with ``__row``, a number of each row's own: its file's number and its place there, so every scan gives the same.
-
-    What isn't a plain scan of files is written to the shared folder first.
-    """
-    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")]
-    try:
-        docs.select(*place).schema  # noqa: B018
-    except AnalysisException:
-        folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-        docs.write.parquet(folder)
-        docs = spark.read.parquet(folder)
-    files = sorted(r[0] for r in docs.select(place[0]).distinct().collect())
-    numbers = spark.createDataFrame(list(enumerate(files)), "__number long, __file string")
-    placed = docs.select("*", *place).join(F.broadcast(numbers), "__file")
-    return placed.select(*docs.columns, (F.shiftleft("__number", 40) + F.col("__at")).alias("__row"))
-
-
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more), whatever their ids."""
-    rows = keyed(spark, docs)
-    gone = near_duplicates(rows, shingle=5, percent=80, id_col="__row").where("not kept").select(F.col("doc_id").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return distinct_rows(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which less than a twentieth are words of benchmark windows, whatever their ids."""
-    rows = keyed(spark, docs)
-    gone = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="__row").where("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    """Rows without a word inside a benchmark window, whatever their ids: a passage in a long text counts like one in a short text."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as the mix takes them: sources at weights 1, 2, 3 of all words.
-
-    Rows without an id, like rows that repeat one, share the greatest number of copies among them.
-    """
-    copies = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[c] for c in docs.columns])
+    """Documents repeated as often as the mix takes them: sources at weights 1, 2, 3 of all words."""
+    return mixed_rows(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .arrays import ALNUM, U64, bounded, buffers, distinct, grams, mix, owner, words
 from .exchange import block_ids
-from .session import prepare, shuffle_partitions
+from .session import free, located, prepare, shuffle_partitions
 
 WINDOW, GRAM = 13, 5  # a window of 9 five-grams spans 13 words, so every shared run of 13 words shares a fingerprint
 MOST_BROADCAST = 2_000_000  # fingerprints; 16 MB
@@ -106,7 +106,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, by_doc
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_broadcast: int = MOST_BROADCAST, id_type: str = "long") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (the sorted ids, as text) of every document.
 
     Words are runs of letters, digits and signs beyond ASCII, A-Z folded. An item's windows are its runs of
@@ -158,10 +158,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
             kept = [zip_(text[d].as_py().encode()) if own else None for d, own in enumerate(lists)]
             yield pa.RecordBatch.from_arrays([pa.array([next(numbers) for _ in lists]), batch.column("id"), pa.array(np.diff(offsets)), pa.array(lists, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["rid", "id", "n_words", "keys", "z"])
 
-    scanned = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(scan, "rid long, id long, n_words long, keys array<long>, z binary").checkpoint()
+    scanned = docs.select(docs[id_col].cast(id_type).alias("id"), docs[text_col].alias("text")).mapInArrow(scan, f"rid long, id {id_type}, n_words long, keys array<long>, z binary").checkpoint()
     hits = scanned.select("rid", F.explode("keys").alias("key")).join(known.select("key", "item"), "key").select("rid", "item").distinct()
     parts = scanned.where("z is not null").select("rid", "id", F.lit("").alias("item"), F.lit(True).alias("own"), F.col("z").alias("payload")).unionByName(
-        hits.join(items, "item").select("rid", F.lit(None).cast("long").alias("id"), "item", F.lit(False).alias("own"), F.encode("text", "utf-8").alias("payload"))
+        hits.join(items, "item").select("rid", F.lit(None).cast(id_type).alias("id"), "item", F.lit(False).alias("own"), F.encode("text", "utf-8").alias("payload"))
     )
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +191,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         if now is not None:
             yield result()
 
-    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string()))])
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    kind = pa.schema([("doc_id", pa.int64() if id_type == "long" else pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string()))])
+    schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
     touched = parts.repartition(shuffle_partitions(spark), "rid").sortWithinPartitions("rid", F.desc("own")).mapInArrow(extend, schema)
     clean = scanned.where("z is null").select(
         F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit(hashlib.sha256(b"").hexdigest()).alias("items_sha256"), F.lit(False).alias("contaminated"), F.array().cast("array<string>").alias("items")
     )
     return clean.unionByName(touched)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that have no word inside an occurrence of a benchmark window; each row is judged by itself, columns stay as they are."""
+    prepare(docs.sparkSession)
+    placed, file, at = located(docs)
+    key = free("__key", placed.columns)
+    placed = placed.withColumn(key, F.concat_ws(":", file, at))
+    gone = decontaminate(placed, benchmark, window, gram, id_col=key, text_col=text_col, item_col=item_col, item_text_col=item_text_col, id_type="string").where("n_hit > 0")
+    return placed.join(gone.select(F.col("doc_id").alias(key)), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])

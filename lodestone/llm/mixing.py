@@ -12,7 +12,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3  # no document is taken more often, and no source's target is above so many times its size
 TOLERANCE = 1e-9
 MAX_NEWTON = 60
-BUCKETS = 4096  # parts into which one rounding level cuts an interval; three levels leave 2**-36
+BUCKETS = 4096  # parts into which one rounding level cuts an interval; two levels leave 2**-24
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -84,41 +84,69 @@ def entropy_balance(sized: DataFrame, targets: DataFrame, most: float = MOST, to
     return state.select("source", "mean", F.when(F.col("all"), F.lit(None).cast("double")).otherwise(F.col("tilt")).alias("tilt"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row; taken = copies * size.
-
-    Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). A source's target is its weight's share of all
-    sizes (weights repeat over sources in code-point order, null last), at most ``most`` times its size, the excess
-    reshared. Rates come from entropy_balance; fractions are rounded by a hash of the id: those documents go up
-    whose hash lies furthest below the fraction, first of those above their source's mean size, as many as come
-    nearest to what their fractions add up to, then of the others, as many as bring the source nearest to its
-    target. The cuts are found by counting in buckets, so no source is ever sorted or gathered. Documents of size 0
-    take 0. Rows that repeat an id round alike. An empty table gives an empty result. Reruns agree.
-    """
-    prepare(docs.sparkSession)
-    sized = docs.select(
-        docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    ).checkpoint()
-    targets = source_targets(sized, weights, most).checkpoint()
-    balanced = entropy_balance(sized, targets, float(most)).checkpoint()
-    goals = targets.join(balanced.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").checkpoint()
-    rated = (
-        sized.join(small(goals), F.col("source").eqNullSafe(F.col("s")))
+def rounded(sized: DataFrame, by_source: DataFrame, most: int) -> DataFrame:
+    """sized with what its source's row in by_source (s, source_size, target, mean, tilt) makes of it: rate, base, place, large and open."""
+    return (
+        sized.join(by_source, F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("rate", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.coalesce(tilted(F.col("size"), F.col("tilt"), F.col("mean"), float(most)), F.lit(float(most)))))
         .withColumn("base", F.floor("rate"))
-        .withColumn("place", (F.pmod(F.xxhash64(F.lit("round"), "doc_id", "size"), F.lit(1 << 52)).cast("double") / float(1 << 52) - (F.col("rate") - F.col("base")) + 1) / 2)
+        .withColumn("place", (F.pmod("draw", F.lit(1 << 52)).cast("double") / float(1 << 52) - (F.col("rate") - F.col("base")) + 1) / 2)
         .withColumn("large", F.col("size") > F.col("mean"))
         .withColumn("open", (F.col("base") < most) & (F.col("size") > 0))
     )
-    for large in (True, False):
-        own = F.col("open") & (F.col("large") == large)
-        need = F.sum(F.when(F.col("large"), (F.col("rate") - F.col("base")) * F.col("size")).otherwise(0.0)) if large else F.first("target") - F.sum(F.col("base") * F.col("size"))
-        needs = rated.groupBy("source").agg(need.alias("need"))
-        cut = lowest_places(rated.where(own).select("source", "size", "place"), needs)
-        rated = rated.join(small(cut), F.col("source").eqNullSafe(F.col("s"))).withColumn("base", F.col("base") + F.when(own & (F.col("place") < F.col("cut")), 1).otherwise(0)).drop("s", "cut")
-    copies = F.col("base").cast("long")
-    return rated.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def up(large: bool, cut: str) -> Column:
+    """1 for a row that its cut rounds up."""
+    return F.when(F.col("open") & (F.col("large") == large) & (F.col("place") < F.col(cut)), 1).otherwise(0)
+
+
+def copied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as one struct column ``doc``, with doc_id, source, size, source_size, target and copies of every row; see mix_sources.
+
+    Everything but one row a source is worked out on the row itself, so docs never go through a shuffle.
+    """
+    prepare(docs.sparkSession)
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
+    own = F.coalesce(docs[id_col].cast("long"), F.xxhash64(docs[text_col]))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit("round"), own, size).alias("draw"))
+    sized = whole.select("source", "size", "draw").checkpoint()
+    targets = source_targets(sized, weights, most).checkpoint()
+    balanced = entropy_balance(sized, targets, float(most)).checkpoint()
+    goals = targets.join(balanced.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").checkpoint()
+    rated = rounded(sized, small(goals), most)
+    above = rated.where("large").groupBy("source").agg(F.sum((F.col("rate") - F.col("base")) * F.col("size")).alias("need"))
+    high = lowest_places(rated.where("open and large").select("source", "size", "place"), above).withColumnRenamed("cut", "cut_large")
+    goals = goals.join(high.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").checkpoint()
+    rated = rounded(sized, small(goals), most)
+    left = rated.groupBy("source").agg((F.first("target") - F.sum((F.col("base") + up(True, "cut_large")) * F.col("size"))).alias("need"))
+    low = lowest_places(rated.where("open and not large").select("source", "size", "place"), left).withColumnRenamed("cut", "cut_small")
+    goals = goals.join(low.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").checkpoint()
+    copies = (F.col("base") + up(True, "cut_large") + up(False, "cut_small")).cast("long")
+    return rounded(whole, small(goals), most).select("doc", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row; taken = copies * size.
+
+    Size is the number of words ``[^\\x20\\x09-\\x0D]+`` (null: 0). A source's target is its weight's share of all
+    sizes (weights repeat over sources in code-point order, null last), at most ``most`` times its size, the excess
+    reshared. Rates come from entropy_balance; fractions are rounded by a hash of the id (of the text where there is
+    none): those documents go up whose hash lies furthest below the fraction, first of those above their source's
+    mean size, as many as come nearest to what their fractions add up to, then of the others, as many as bring the
+    source nearest to its target. The cuts are found by counting in buckets, so no source is ever sorted or gathered.
+    Documents of size 0 take 0. Rows that repeat an id and a size round alike. Other columns are ignored; an empty
+    table gives an empty result. Reruns agree.
+    """
+    mixed = copied(docs, weights, most, id_col, text_col, source_col)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of docs, all its columns as they are, as often as mix_sources takes it."""
+    mixed = copied(docs, weights, most, id_col, text_col, source_col).where("copies > 0")
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def small(by_source: DataFrame) -> DataFrame:

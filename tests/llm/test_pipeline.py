@@ -48,15 +48,23 @@ def test_mixing_stage_keeps_columns_and_rows_without_id(spark):
     assert corpus_pipeline.mixing(spark, docs.limit(0), SF).count() == 0
 
 
+def test_a_passage_in_a_long_text_is_found(spark):
+    words = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text.split()[:20]
+    clean = [f"w{i * i % 9973}" for i in range(15_000)]
+    docs = spark.createDataFrame([(1, " ".join(clean[:7000] + words + clean[7000:])), (2, " ".join(clean))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, SF).collect()] == [2]
+
+
 def test_stages_judge_each_row(spark, tmp_path):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
     text = " ".join(f"w{i * i % 97}" for i in range(60))
     rows = [(None, bench, "a"), (7, bench, "b"), (7, text, "c"), (7, text, "d"), (None, text, "e"), (None, "x y z", "f"), (8, None, "g")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "doc_id as `__key`", "doc_id as `n.m`", "source as copies")
     docs.write.parquet(str(tmp_path / "docs"))
     for own in (docs, spark.read.parquet(str(tmp_path / "docs"))):
         left = {r.source for r in corpus_pipeline.decontamination(spark, own, SF).collect()}
         assert left == set("cdefg")
         left = [r.source for r in corpus_pipeline.near_duplicate_removal(spark, own, SF).collect()]
         assert len(left) == 4 and {"f", "g"} < set(left) and len({"a", "b"} & set(left)) == 1 and len({"c", "d", "e"} & set(left)) == 1
-        assert corpus_pipeline.decontamination(spark, own.limit(0), SF).count() == 0
+        for stage in (corpus_pipeline.decontamination, corpus_pipeline.near_duplicate_removal, corpus_pipeline.mixing):
+            assert stage(spark, own.limit(0), SF).count() == 0 and stage(spark, own, SF).columns == own.columns

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Element names by their part in HTML.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+RAW = frozenset("script style textarea title template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-HIDDEN = frozenset("head script style textarea title noscript template iframe xmp noembed noframes button select option optgroup datalist svg math canvas object audio video map input".split())
+MATH = "math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mpadded mphantom mstyle menclose mtable mtr mtd"
+INLINE = frozenset((MATH + " a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var").split())
+HIDDEN = frozenset("head script style textarea title template iframe xmp noembed noframes button select option optgroup datalist svg map input".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt".split())
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+NONE, PARAGRAPH = frozenset(), frozenset(("p",))
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+COMMENT_END = re.compile(r"--!?>")
+STOP = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>][^\s>]*)))?")
 NAMING = frozenset("class id role itemprop aria-label".split())
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
@@ -52,10 +58,63 @@ def attribute_names(raw: str) -> tuple[list[str], bool]:
     return names, hidden
 
 
+class Tags:
+    """Tags and the text between them, in one pass whatever the page: what has been sought in vain is not sought again."""
+
+    def __init__(self, source: str):
+        self.source, self.at, self.quotes = source, 0, True
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag, -1 if none does; a quoted value may hold that sign, unless quotes turn out not to pair."""
+        start = at
+        while self.quotes:
+            m = STOP.search(self.source, at)
+            if m and m[1] is None:
+                return m.start()
+            close = self.source.find(m[1], m.end()) if m else -1
+            if close < 0:
+                self.quotes = False
+            at = close + 1
+        return self.source.find(">", start)
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, str]]:
+        """(text before, element name, is an end tag, attributes); comments, declarations and the page's end have no name."""
+        source = self.source
+        while self.at < len(source):
+            begin = seek = self.at
+            found = None
+            while (open_ := source.find("<", seek)) >= 0:
+                seek = open_ + 1
+                if source.startswith("!--", seek):
+                    m = COMMENT_END.search(source, seek + 3)
+                    found = "", False, "", m.end() if m else len(source)
+                elif source[seek : seek + 1] in ("!", "?") or source.startswith("/", seek) and not NAME.match(source, seek + 1):
+                    to = source.find(">", seek)
+                    found = ("", False, "", to + 1) if to >= 0 else None
+                elif m := NAME.match(source, seek + source.startswith("/", seek)):
+                    to = self.end(m.end())
+                    found = (m[0].lower(), source[seek] == "/", source[m.end() : to], to + 1) if to >= 0 else None
+                else:
+                    continue
+                break
+            if found is None:  # no tag can end any more
+                self.at = len(source)
+                yield source[begin:], "", False, ""
+                return
+            self.at = found[3]
+            yield source[begin:open_], *found[:3]
+
+    def skip(self, name: str) -> None:
+        """Past the end tag of an element whose content isn't markup."""
+        end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(self.source, self.at)
+        self.at = len(self.source) if end is None else (self.source.find(">", end.end()) + 1 or len(self.source))
+
+
 def read(source: str) -> Page:
     """Blocks (the root first) and text runs; a run is the text between two block edges, white space made single."""
     blocks, runs, owner = [Block("html", -1, 0, [])], [], []
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, block, hidden
+    opened: Counter[str] = Counter()  # how often each name is in the stack
     parts: list[str] = []
     in_link = links = 0
 
@@ -81,43 +140,42 @@ def read(source: str) -> Page:
             if in_link:
                 links += len(text)
 
+    def push(name: str, block: int, hidden: bool) -> None:
+        opened[name] += 1
+        stack.append((name, block, hidden))
+
     def close(to: int) -> None:
         nonlocal in_link
         if any(name not in INLINE for name, _, _ in stack[to:]):
             flush()
-        in_link -= sum(name == "a" for name, _, _ in stack[to:])
+        for name, _, _ in stack[to:]:
+            opened[name] -= 1
+            in_link -= name == "a"
         del stack[to:]
 
-    at = 0
-    while True:
-        m = TOKEN.search(source, at)
-        if m is None:
-            add(source[at:])
-            break
-        add(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    tags = Tags(source)
+    for text, name, ends, raw in tags:
+        add(text)
         if not name:
             continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
+        if ends:
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k][0] == name:
                     close(k)
                     break
                 if name in INLINE and stack[k][0] not in INLINE or name not in SCOPE and stack[k][0] in SCOPE and name != "body":
                     break
             continue
-        raw = m[3] or m[6] or ""
         if stack[-1][0] == "head" and name not in IN_HEAD:
             close(len(stack) - 1)
-        if name in ENDS_P or name in SAME:
-            wanted, limit = SAME.get(name, set()), LIMITS.get(name, set()) | SCOPE - SAME.get(name, set())
+        wanted = SAME.get(name, NONE) | (PARAGRAPH if name in ENDS_P else NONE)
+        if any(opened[x] for x in wanted):
+            limit = LIMITS.get(name, NONE) | SCOPE - SAME.get(name, NONE)
             for k in range(len(stack) - 1, 0, -1):
-                own = stack[k][0]
-                if own in wanted or own == "p" and name in ENDS_P:
+                if stack[k][0] in wanted:
                     close(k)
                     break
-                if own in limit:
+                if stack[k][0] in limit:
                     break
         if name in VOID:
             if name not in INLINE:
@@ -126,19 +184,18 @@ def read(source: str) -> Page:
         names, hidden = attribute_names(raw)
         hidden = hidden or stack[-1][2] or name in HIDDEN
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, at)
-            at = len(source) if end is None else (source.find(">", end.end()) + 1 or len(source))
+            tags.skip(name)
             continue
-        if raw.rstrip().endswith("/") and name in ("svg", "path"):
+        if raw.rstrip().endswith("/") and (name in ("svg", "path") or name in MATH.split()):
             continue
         if name in INLINE:
             blocks[stack[-1][1]].marks += 1
             in_link += name == "a"
-            stack.append((name, stack[-1][1], hidden))
+            push(name, stack[-1][1], hidden)
             continue
         flush()
         parent = stack[-1][1]
         blocks.append(Block(name, parent, blocks[parent].depth + 1, names))
-        stack.append((name, len(blocks) - 1, hidden))
+        push(name, len(blocks) - 1, hidden)
     flush()
     return Page(blocks, runs, owner)

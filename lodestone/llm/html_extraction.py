@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,6 +55,15 @@ def features(page: Page) -> np.ndarray:
     out = np.zeros((n, width))
     above = np.zeros((n, 4))  # good and bad names, semantic boilerplate and main elements at or above
     whole = max(total[0], 1)
+    # among its siblings: a block's place, how many bear its tag, and the two largest texts
+    place, alike, largest, second = np.zeros(n, np.int64), np.ones(n), np.zeros(n), np.zeros(n)
+    for family in children:
+        family.reverse()
+        same = Counter(blocks[j].tag for j in family)
+        top = sorted((total[j] for j in family), reverse=True)[:2]
+        for at, j in enumerate(family):
+            place[j], alike[j] = at, same[blocks[j].tag]
+            largest[j], second[j] = top[0], top[1] if len(top) > 1 else 0.0
     for i, b in enumerate(blocks):
         good, bad = sum(x in GOOD for x in b.names), sum(x in BAD for x in b.names)
         before = above[b.parent] if i else np.zeros(4)
@@ -62,14 +72,12 @@ def features(page: Page) -> np.ndarray:
         if b.tag in TAGS:
             row[TAGS.index(b.tag)] = 1
         row[len(TAGS)] = b.tag in HEADINGS
-        family = children[b.parent][::-1] if i else [i]
-        same = [j for j in family if blocks[j].tag == b.tag]
-        at = family.index(i)
-        share = lambda j: total[j] / whole
+        family = len(children[b.parent]) if i else 1
+        rival = second[i] if total[i] == largest[i] else largest[i]
         row[len(TAGS) + 1 : len(TAGS) + 25] = (
-            good, bad, before[0], before[1], before[2], before[3], b.depth, np.log1p(own[i]), np.log1p(total[i]), share(i), links[i] / max(total[i], 1),
-            np.log1p(total[i] / nodes[i]), np.log1p(paragraphs[i]), np.log1p(nodes[i]), commas[i] / max(total[i], 1), forms[i], at / max(len(family) - 1, 1), np.log1p(len(family)),
-            len(same) / len(family), max((share(j) for j in family if j != i), default=0.0), links[b.parent if i else 0] / max(total[b.parent if i else 0], 1), total[i] / max(total[b.parent if i else 0], 1),
+            good, bad, before[0], before[1], before[2], before[3], b.depth, np.log1p(own[i]), np.log1p(total[i]), total[i] / whole, links[i] / max(total[i], 1),
+            np.log1p(total[i] / nodes[i]), np.log1p(paragraphs[i]), np.log1p(nodes[i]), commas[i] / max(total[i], 1), forms[i], place[i] / max(family - 1, 1), np.log1p(family),
+            alike[i] / family, rival / whole, links[b.parent if i else 0] / max(total[b.parent if i else 0], 1), total[i] / max(total[b.parent if i else 0], 1),
             len(b.names) > 0, b.marks / (1 + own[i] / 50),
         )
         for name in b.names:

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -146,6 +147,42 @@ def test_text_is_not_taken_for_hidden(source):
     assert dom.read(source).runs == ["one two"]
 
 
+@pytest.mark.parametrize(
+    "source, runs",
+    [
+        ('<a href="/hidden/page">this link</a> stays', ["this link stays"]),
+        ("<p>say <math><mi>x</mi><mo>=</mo><mn>2</mn></math> now<noscript> and then</noscript>", ["say x=2 now", "and then"]),
+        ("<p a=\"1>2\" b='x>y'>t</p>", ["t"]),
+        ("<p>a <3 b, c < d</p>e<!-- x>y -->f<br>g", ["a <3 b, c < d", "ef g"]),
+        ("<p>open <b class='x", ["open <b class='x"]),
+        ("<ul><li>one<li>two</ul><p>three<div>four", ["one", "two", "three", "four"]),
+        ('x "quoted > text" y <i a=">b</i> c', ['x "quoted > text" y b c']),
+    ],
+)
+def test_reading(source, runs):
+    assert dom.read(source).runs == runs
+
+
+@pytest.mark.parametrize("source", ["<p " * 350_000, "<p>" + "x <b " * 200_000, "<div>" * 30_000, "<p>some words</p>" * 20_000, '<b "' * 250_000, "<b a='\">" * 120_000, "<div>" * 20_000 + "</section>" * 20_000])
+def test_long_pages_take_linear_time(source):
+    began = time.perf_counter()
+    html_extraction.features(dom.read(source))
+    assert time.perf_counter() - began < 5
+
+
+def test_a_page_written_by_hand():
+    page = """<html><head><title>T</title></head><body><div id="top-menu"><a href="/">Home</a> <a href="/n">News</a></div>
+    <div class="cookie-banner">We use cookies. <button>Fine</button></div><div id="content"><h1>Rain in the hills</h1>
+    <p>It rained for three days, and on the fourth the river rose over the road that leads to the village.</p>
+    <p>People moved upstairs &amp; waited; nobody was hurt, the mayor said, but the mill lost its wheel.</p></div>
+    <div class="sidebar"><h3>More</h3><ul><li><a href="/a">Snow</a></li><li><a href="/b">Wind</a></li></ul></div>
+    <div class="comments"><div class="comment"><p>I was there and it was worse than this.</p></div></div><footer>(c) The Paper</footer></body></html>"""
+    assert html_extraction.main_text(dom.read(page), html_extraction.train()) == (
+        "Rain in the hills It rained for three days, and on the fourth the river rose over the road that leads to the village. "
+        "People moved upstairs & waited; nobody was hurt, the mayor said, but the mill lost its wheel."
+    )
+
+
 def test_hidden_text_goes():
     assert dom.read("<head>\n<title>t</title>\n</head><p hidden>a</p><p title=x hidden=''>b</p><p style='display: none'>c</p><P CLASS=Big>d</P>").runs == ["d"]
 

@@ -241,7 +241,7 @@ def linked(docs: DataFrame, shingle: int, percent: int, slots: int, rows: int, t
         .checkpoint()
     )
     some = signed.where("n > 0" if null_ids else "n > 0 and id is not null")
-    classes = some.groupBy("a", "b", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b", "n", "rep")
+    classes = some.groupBy("a", "b", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b", "n", "rep").checkpoint()  # so that the join has exchanges of its own, which split where one set is very common
     copies = some.select("a", "b", "n", "row").join(classes, ["a", "b", "n"]).where("row <> rep").select("row", "rep").checkpoint()
 
     entries = some.select(F.explode("bands").alias("key"), "row", "a")

@@ -102,16 +102,19 @@ def up(large: bool, cut: str) -> Column:
     return F.when(F.col("open") & (F.col("large") == large) & (F.col("place") < F.col(cut)), 1).otherwise(0)
 
 
-def copied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as one struct column ``doc``, with doc_id, source, size, source_size, target and copies of every row; see mix_sources.
+def copied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = True) -> DataFrame:
+    """docs as one struct column ``doc`` (null unless ``whole``), with doc_id, source, size, source_size, target and copies of every row; see mix_sources.
 
     Everything but one row a source is worked out on the row itself, so docs never go through a shuffle.
     """
     prepare(docs.sparkSession)
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
     own = F.coalesce(docs[id_col].cast("long"), F.xxhash64(docs[text_col]))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit("round"), own, size).alias("draw"))
-    sized = whole.select("source", "size", "draw").checkpoint()
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole else F.lit(None)
+    rows = docs.select(doc.alias("doc"), docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit("round"), own, size).alias("draw"))
+    sized = rows.select("doc_id", "source", "size", "draw").checkpoint()
+    if not whole:
+        rows = sized.withColumn("doc", F.lit(None))
     targets = source_targets(sized, weights, most).checkpoint()
     balanced = entropy_balance(sized, targets, float(most)).checkpoint()
     goals = targets.join(balanced.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").checkpoint()
@@ -124,7 +127,7 @@ def copied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MO
     low = lowest_places(rated.where("open and not large").select("source", "size", "place"), left).withColumnRenamed("cut", "cut_small")
     goals = goals.join(low.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").checkpoint()
     copies = (F.col("base") + up(True, "cut_large") + up(False, "cut_small")).cast("long")
-    return rounded(whole, small(goals), most).select("doc", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return rounded(rows, small(goals), most).select("doc", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -139,7 +142,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     Documents of size 0 take 0. Rows that repeat an id and a size round alike. Other columns are ignored; an empty
     table gives an empty result. Reruns agree.
     """
-    mixed = copied(docs, weights, most, id_col, text_col, source_col)
+    mixed = copied(docs, weights, most, id_col, text_col, source_col, False)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -111,8 +111,12 @@ def unary(whole: Callable[[Column], Column] | None, part: Callable[[Column], Col
     return build
 
 
-def half_away(c: Column) -> Column:
-    return F.signum(c) * F.floor(F.abs(c) + 0.5)
+def rounding(op: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """op, which goes through 64-bit integers, on doubles that have a fraction; from 2^52 on none has."""
+    return lambda c: F.when(F.abs(c) < float(1 << 52), op(c).cast("double")).otherwise(c)
+
+
+half_away = rounding(lambda c: F.signum(c) * F.floor(F.abs(c) + 0.5))
 
 
 def comparison(op: Callable[[Column, Column], Column]):
@@ -356,8 +360,8 @@ BUILDERS: dict[str, Callable[..., Col | None]] = {
     "COS": unary(None, F.cos),
     "TAN": unary(None, F.tan),
     "ROUND": unary(lambda c: c, half_away),
-    "CEIL": unary(lambda c: c, lambda c: F.ceil(c).cast("double")),
-    "FLOOR": unary(lambda c: c, lambda c: F.floor(c).cast("double")),
+    "CEIL": unary(lambda c: c, rounding(F.ceil)),
+    "FLOOR": unary(lambda c: c, rounding(F.floor)),
     "MIN": least_or_greatest(F.least),
     "MAX": least_or_greatest(F.greatest),
     "LUKA": luka,

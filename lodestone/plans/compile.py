@@ -255,7 +255,7 @@ def aggregate(rule: Rule, bound: Bound) -> tuple[Rule, Bound]:
         columns.append(F.col(name_of(v)).alias(name_of(v)))
         kinds[v] = bound.kinds[v]
     value = expression(agg.arg, bound.col)
-    extra = [F.col(name_of(v)).alias(f"x_{v.name}") for v in dict.fromkeys(agg.distinct)]
+    extra = [F.col(name_of(v)).alias(f"x_{v.name}") for v in dict.fromkeys(agg.distinct) if isinstance(v, Var)]  # a variable equal to a constant tells nothing apart
     rows = bound.df.select(*columns, value.c.alias("a_"), *extra)
     for c in [name_of(v) for v in kinds] + ["a_"]:
         rows = rows.where(F.col(c).isNotNull())

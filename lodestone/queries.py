@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .engine import Engine
+from .plans.storage import shared_folder
 
 #: The columns that stand for a predicate's arguments, in order.
 TABLES = {
@@ -43,8 +45,9 @@ def q(program: str, output: str, columns: str, sql: str) -> RuleQuery:
 
 
 LINE = "lineitem(?o, ?p, ?s, ?n, ?q, ?e, ?d, ?f, ?t)"
-EDGES = "edge(?x, ?y) :- lineitem(?o, ?x, _, 1, _, _, _, _, _), lineitem(?o, ?y, _, 2, _, _, _, _, _), ?x < 200, ?y < 200 ."
-EDGES_SQL = "edge(x, y) AS (SELECT DISTINCT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_partkey < 200 AND b.l_partkey < 200)"
+#: from a part to one that the same supplier delivers later in the same order: a sparse graph over all lines at every size
+EDGES = "edge(?x, ?y) :- lineitem(?o, ?x, ?s, ?i, _, _, _, _, _), lineitem(?o, ?y, ?s, ?j, _, _, _, _, _), ?i < ?j ."
+EDGES_SQL = "edge(x, y) AS (SELECT DISTINCT a.l_partkey, b.l_partkey FROM lineitem a JOIN lineitem b USING (l_orderkey, l_suppkey) WHERE a.l_linenumber < b.l_linenumber)"
 
 QUERIES: dict[str, RuleQuery] = {
     "flagship_customer_spend": q("big(?c, ROUND(#sum(?p, ?o) * 100) / 100) :- orders(?o, ?c, _, ?p, _), ?p > 1000 .", "big", "c spend", "SELECT o_custkey AS c, round(sum(o_totalprice) * 100) / 100 AS spend FROM orders WHERE o_totalprice > 1000 GROUP BY 1"),
@@ -58,10 +61,13 @@ QUERIES: dict[str, RuleQuery] = {
     "theta_join": q("r(?a, ?b) :- nation(?x, ?a, ?g), nation(?y, ?b, ?g), ?x < ?y .", "r", "a b", "SELECT DISTINCT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey < b.n_nationkey"),
     "cross_product": q("r(?a, ?b) :- region(_, ?a), region(_, ?b) .", "r", "a b", "SELECT DISTINCT a.r_name AS a, b.r_name AS b FROM region a, region b"),
     "self_join": q("r(?a, ?b) :- supplier(?a, _, ?k, _), supplier(?b, _, ?k, _), ?a != ?b .", "r", "a b", "SELECT DISTINCT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b USING (s_nationkey) WHERE a.s_suppkey <> b.s_suppkey"),
-    "equality_join": q("r(?a, ?b) :- supplier(?a, _, ?x, _), customer(?b, _, ?y, _, _), ?x = ?y, ?a < 5 .", "r", "a b", "SELECT DISTINCT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey < 5"),
+    "equality_join": q("r(?a, ?b) :- supplier(?a, _, ?x, _), customer(?b, _, ?y, _, _), ?x = ?y .", "r", "a b", "SELECT DISTINCT s_suppkey AS a, c_custkey AS b FROM supplier JOIN customer ON s_nationkey = c_nationkey"),
     "union_rules": q("r(?k) :- supplier(_, _, ?k, ?b), ?b > 5000 . r(?k) :- customer(_, _, ?k, ?b, _), ?b > 9000 .", "r", "k", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000 UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9000"),
     "intersection": q("r(?k) :- supplier(_, _, ?k, _), customer(_, _, ?k, _, _) .", "r", "k", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer"),
-    "except_negation": q("r(?c) :- customer(?c, _, _, _, _), ~orders(_, ?c, _, _, _) .", "r", "c", "SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "except_negation": q(
+        "twice(?p) :- lineitem(?o, ?p, _, ?i, _, _, _, _, _), lineitem(?o, ?p, _, ?j, _, _, _, _, _), ?i < ?j . r(?p) :- part(?p, _, _, _, _, _), ~twice(?p) .", "r", "p",
+        "SELECT p_partkey AS p FROM part EXCEPT SELECT a.l_partkey FROM lineitem a JOIN lineitem b USING (l_orderkey, l_partkey) WHERE a.l_linenumber < b.l_linenumber",
+    ),
     "negation_constant": q('r(?c) :- customer(?c, _, _, _, _), ~orders(_, ?c, "F", _, _) .', "r", "c", "SELECT DISTINCT c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL)"),
     "negation_operation": q("r(?a) :- nation(?a, _, _), ~nation(?a + 1, _, _) .", "r", "a", "SELECT DISTINCT n_nationkey AS a FROM nation WHERE n_nationkey + 1 NOT IN (SELECT n_nationkey FROM nation)"),
     "negation_ground": q("r(?a) :- region(?a, _), ~nation(99, _, _) .", "r", "a", "SELECT DISTINCT r_regionkey AS a FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 99)"),
@@ -94,12 +100,12 @@ QUERIES: dict[str, RuleQuery] = {
         f"WITH RECURSIVE {EDGES_SQL}, path(x, y) AS (SELECT x, y FROM edge UNION SELECT path.x, edge.y FROM path JOIN edge ON path.y = edge.x) SELECT x, y FROM path",
     ),
     "mutual_recursion": q(
-        EDGES + " odd(?y) :- edge(?x, ?y), ?x < 20 . even(?y) :- odd(?x), edge(?x, ?y) . odd(?y) :- even(?x), edge(?x, ?y) .", "even", "y",
-        f"WITH RECURSIVE {EDGES_SQL}, walk(y, o) AS (SELECT y, 1 FROM edge WHERE x < 20 UNION SELECT edge.y, 1 - walk.o FROM walk JOIN edge ON walk.y = edge.x) SELECT DISTINCT y FROM walk WHERE o = 0",
+        EDGES + " odd(?y) :- edge(?x, ?y), part(?x, _, \"Brand#2\", _, _, _) . even(?y) :- odd(?x), edge(?x, ?y) . odd(?y) :- even(?x), edge(?x, ?y) .", "even", "y",
+        f"WITH RECURSIVE {EDGES_SQL}, walk(y, o) AS (SELECT y, 1 FROM edge WHERE x IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#2') UNION SELECT edge.y, 1 - walk.o FROM walk JOIN edge ON walk.y = edge.x) SELECT DISTINCT y FROM walk WHERE o = 0",
     ),
     "unreachable": q(
-        EDGES + " node(?x) :- edge(?x, _) . node(?x) :- edge(_, ?x) . seen(?y) :- edge(?x, ?y), ?x < 10 . seen(?y) :- seen(?x), edge(?x, ?y) . r(?x) :- node(?x), ~seen(?x) .", "r", "x",
-        f"WITH RECURSIVE {EDGES_SQL}, seen(y) AS (SELECT y FROM edge WHERE x < 10 UNION SELECT edge.y FROM seen JOIN edge ON seen.y = edge.x) SELECT x FROM (SELECT x FROM edge UNION SELECT y FROM edge) n(x) WHERE x NOT IN (SELECT y FROM seen)",
+        EDGES + " node(?x) :- edge(?x, _) . node(?x) :- edge(_, ?x) . seen(?y) :- edge(?x, ?y), part(?x, _, \"Brand#2\", _, _, _) . seen(?y) :- seen(?x), edge(?x, ?y) . r(?x) :- node(?x), ~seen(?x) .", "r", "x",
+        f"WITH RECURSIVE {EDGES_SQL}, seen(y) AS (SELECT y FROM edge WHERE x IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#2') UNION SELECT edge.y FROM seen JOIN edge ON seen.y = edge.x) SELECT x FROM (SELECT x FROM edge UNION SELECT y FROM edge) n(x) WHERE x NOT IN (SELECT y FROM seen)",
     ),
     "counting_recursion": q("r(0) . r(?y) :- r(?x), ?x < 40, ?y = ?x + 2 .", "r", "x", "SELECT CAST(range AS BIGINT) AS x FROM range(0, 41, 2)"),
     "existential_restricted": q(
@@ -119,9 +125,32 @@ QUERIES: dict[str, RuleQuery] = {
         "SELECT DISTINCT n_name AS n, upper(n_name) AS u, length(n_name) AS l, substr(n_name, 2, 3) AS s, substr(n_name, 1, instr(n_name, 'A') - 1) AS b, substr(n_name, instr(n_name, 'A') + 1) AS a, n_name || '-' || n_nationkey AS c, reverse(n_name) AS v FROM nation WHERE contains(n_name, 'A')",
     ),
     "string_tests": q(
-        'r(?n) :- nation(_, ?n, _), STRSTARTS(?n, "I") . r(?n) :- nation(_, ?n, _), STRENDS(?n, "A") . r(?n) :- nation(_, ?n, _), REGEX(?n, "^[C-F].*N") . r(?n) :- nation(_, ?n, _), LEVENSHTEIN(?n, "PERU") < 4 . r(?n) :- nation(_, ?n, _), COMPARE(?n, "B") = -1 .', "r", "n",
-        "SELECT DISTINCT n_name AS n FROM nation WHERE starts_with(n_name, 'I') OR ends_with(n_name, 'A') OR regexp_matches(n_name, '^[C-F].*N') OR levenshtein(n_name, 'PERU') < 4 OR n_name < 'B'",
+        'r(?n, STRSTARTS(?n, "NATION_2"), STRENDS(?n, "4"), REGEX(?n, "^N.*_1[0-4]$"), LEVENSHTEIN(?n, "NATION_13"), COMPARE(?n, "NATION_15"), CONTAINS(?n, "_2")) :- nation(_, ?n, _) .', "r", "n s e x l c i",
+        "SELECT DISTINCT n_name AS n, starts_with(n_name, 'NATION_2') AS s, ends_with(n_name, '4') AS e, regexp_matches(n_name, '^N.*_1[0-4]$') AS x, levenshtein(n_name, 'NATION_13') AS l, CAST(CASE WHEN n_name < 'NATION_15' THEN -1 WHEN n_name > 'NATION_15' THEN 1 ELSE 0 END AS BIGINT) AS c, contains(n_name, '_2') AS i FROM nation",
+    ),
+    "string_filters": q(
+        'r(?n, 1) :- nation(_, ?n, _), STRSTARTS(?n, "NATION_2") . r(?n, 2) :- nation(_, ?n, _), STRENDS(?n, "4") . r(?n, 3) :- nation(_, ?n, _), REGEX(?n, "^N.*_1[0-4]$") . r(?n, 4) :- nation(_, ?n, _), LEVENSHTEIN(?n, "NATION_13") < 2 . r(?n, 5) :- nation(_, ?n, _), COMPARE(?n, "NATION_15") = -1 .', "r", "n k",
+        "SELECT n_name AS n, CAST(1 AS BIGINT) AS k FROM nation WHERE starts_with(n_name, 'NATION_2') UNION SELECT n_name, 2 FROM nation WHERE ends_with(n_name, '4') UNION SELECT n_name, 3 FROM nation WHERE regexp_matches(n_name, '^N.*_1[0-4]$') UNION SELECT n_name, 4 FROM nation WHERE levenshtein(n_name, 'NATION_13') < 2 UNION SELECT n_name, 5 FROM nation WHERE n_name < 'NATION_15'",
+    ),
+    "type_functions": q(
+        'r(?k, DATATYPE(?n), isFloat(FLOAT(?k)), isDouble(?b), isIri(IRI(?n)), isIri(?n), NOT(isString(?k)), NUMLESSEQ(?k, 7), BITSHRU(?k, 1), isFloat(?b), isDouble(?k), STR(IRI(?n)), DOUBLE(FLOAT(?k))) :- supplier(?k, ?n, _, ?b) .', "r", "k t f d i j s l u g h n e",
+        "SELECT s_suppkey AS k, 'http://www.w3.org/2001/XMLSchema#string' AS t, true AS f, true AS d, true AS i, false AS j, true AS s, s_suppkey <= 7 AS l, s_suppkey >> 1 AS u, false AS g, false AS h, s_name AS n, CAST(s_suppkey AS DOUBLE) AS e FROM supplier",
+    ),
+    "trigonometry": q(
+        "r(?k, ROUND(SIN(?b / 1000) * 1000000), ROUND(COS(?b / 1000) * 1000000), ROUND(TAN(?b / 1000) * 1000)) :- supplier(?k, _, _, ?b) .", "r", "k s c t",
+        "SELECT s_suppkey AS k, sign(s) * floor(abs(s) + 0.5) AS s, sign(c) * floor(abs(c) + 0.5) AS c, sign(t) * floor(abs(t) + 0.5) AS t FROM (SELECT s_suppkey, sin(s_acctbal / 1000) * 1000000 AS s, cos(s_acctbal / 1000) * 1000000 AS c, tan(s_acctbal / 1000) * 1000 AS t FROM supplier)",
     ),
+    "large_doubles": q(
+        "r(?k, CEIL(?v), FLOOR(?v), ROUND(?v)) :- supplier(?k, _, _, ?b), ?v = ?b * 1.0E30 .", "r", "k c f r",
+        "SELECT s_suppkey AS k, ceil(s_acctbal * 1e30) AS c, floor(s_acctbal * 1e30) AS f, s_acctbal * 1e30 AS r FROM supplier",
+    ),
+    "second_assignment": q("r(?k, ?v) :- nation(?k, _, ?g), ?v = ?k + ?g, ?v = ?g * 6 .", "r", "k v", "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey * 6 AS BIGINT) AS v FROM nation WHERE n_nationkey + n_regionkey = n_regionkey * 6"),
+    "equality_chain": q(
+        "r(?a, ?b) :- nation(?a, _, ?x), nation(?b, _, ?y), ?x = ?u, ?u = ?w, ?w = ?y, ?a < ?b .", "r", "a b",
+        "SELECT DISTINCT CAST(a.n_nationkey AS BIGINT) AS a, CAST(b.n_nationkey AS BIGINT) AS b FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey < b.n_nationkey",
+    ),
+    "told_apart_by_a_constant": q("r(#sum(?k, ?g)) :- nation(?k, _, ?g), ?g = 3 .", "r", "s", "SELECT CAST(sum(DISTINCT n_nationkey) AS BIGINT) AS s FROM nation WHERE n_regionkey = 3 HAVING count(*) > 0"),
+    "empty_frontier": q("some(!v) :- nation(_, _, _) . r(#count(?v)) :- some(?v) .", "r", "n", "SELECT CAST(1 AS BIGINT) AS n"),
     "uri_functions": q('r(?n, URIENCODE(CONCAT(?n, " &/", LCASE(?n))), URIDECODE("a%20b%26")) :- region(_, ?n) .', "r", "n e d", "SELECT DISTINCT r_name AS n, url_encode(r_name || ' &/' || lower(r_name)) AS e, 'a b&' AS d FROM region"),
     "integer_functions": q(
         "r(?k, POW(?k, 2), SQRT(?k), REM(?k, 4), ABS(?k - 10), BITAND(?k, 6), BITOR(?k, 8), BITXOR(?k, 5), BITSHL(?k, 2), BITSHR(?k, 1), LOG(?k + 1, 2), INVERTSIGN(?k), MIN(?k, 7), MAX(?k, 7)) :- nation(?k, _, _) .", "r", "k p s r a b o x l h g i n m",
@@ -144,4 +173,75 @@ QUERIES: dict[str, RuleQuery] = {
         "SELECT event_type AS t, count(DISTINCT user_id) AS n FROM events JOIN (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1) USING (user_id, event_id) GROUP BY 1",
     ),
 }
+
+
+@dataclass(frozen=True)
+class RoundTrip:
+    """A program's exports, written to the shared folder, and a program over imports of them; ``{}`` stands for the folder."""
+
+    write: str
+    read: str
+    output: str
+    columns: tuple[str, ...]
+    sql: str
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+        first = Engine(spark, folder)
+        for name, columns in TABLES.items():
+            if f"{name}(" in self.write:
+                first.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), columns)
+        first.run(self.write)
+        first.export()
+        second = Engine(spark, folder)
+        second.run(self.read, outputs=[self.output])
+        return second.relation(self.output, list(self.columns))
+
+
+def trip(write: str, read: str, columns: str, sql: str) -> RoundTrip:
+    return RoundTrip(write, read, "r", tuple(columns.split()), sql)
+
+
+SUPPLIERS = "SELECT DISTINCT s_suppkey AS k, s_name AS n, s_acctbal AS b FROM supplier"
+STATEMENTS = 't(?s, <http://e/name>, ?n) :- supplier(?k, ?n, _, _), ?s = IRI(CONCAT("http://e/", STR(?k))) . t(?s, <http://e/nation>, ?g) :- supplier(?k, _, ?g, _), ?s = IRI(CONCAT("http://e/", STR(?k))) . '
+FOUND = ' r(?k, STR(?n), INT(?g)) :- t(?s, <http://e/name>, ?n), t(?s, <http://e/nation>, ?g), ?k = STRAFTER(STR(?s), "http://e/") .'
+FOUND_SQL = "SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS k, s_name AS n, CAST(s_nationkey AS BIGINT) AS g FROM supplier"
+IN_GRAPHS = STATEMENTS.replace("t(?s", "t(<http://e/graph>, ?s")
+
+ROUND_TRIPS: dict[str, RoundTrip] = {
+    "csv_round_trip": trip('t(?k, ?n, ?b) :- supplier(?k, ?n, _, ?b) . @export t :- csv{resource="t.csv", format=(int, string, double)} .', '@import t :- csv{resource="t.csv", format=(int, string, double)} . r(?k, ?n, ?b) :- t(?k, ?n, ?b) .', "k n b", SUPPLIERS),
+    "csv_any_round_trip": trip('t(?k, ?n, ?b) :- supplier(?k, ?n, _, ?b) . @export t :- csv{resource="t.csv"} .', '@import t :- csv{resource="t.csv"} . r(STR(?k), STR(?n), isDouble(?b)) :- t(?k, ?n, ?b), isString(?n) .', "k n d", "SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS k, s_name AS n, true AS d FROM supplier"),
+    "csv_line_breaks": trip('t(?k, CONCAT(?n, "\\n, \\"", STR(?k), "\\"")) :- supplier(?k, ?n, _, _) . @export t :- csv{resource="t.csv", format=(int, string)} .', '@import t :- csv{resource="t.csv", format=(int, string)} . r(?k, STRLEN(?n), CONTAINS(?n, "\\n")) :- t(?k, ?n) .', "k l c", "SELECT DISTINCT s_suppkey AS k, CAST(length(s_name) + 5 + length(CAST(s_suppkey AS VARCHAR)) AS BIGINT) AS l, true AS c FROM supplier"),
+    "tsv_gzip_round_trip": trip('t(?k, ?b) :- supplier(?k, _, _, ?b) . @export t :- tsv{resource="t.tsv", compression=gzip, format=(int, double)} .', '@import t :- tsv{resource="t.tsv", format=(int, double)} . r(?k, ?b) :- t(?k, ?b) .', "k b", "SELECT DISTINCT s_suppkey AS k, s_acctbal AS b FROM supplier"),
+    "dsv_skip_and_limit": trip('t(?k, ?g, ?b) :- supplier(?k, _, ?g, ?b) . @export t :- dsv{resource="t.dsv", delimiter=";", format=(int, int, double)} .', '@import t :- dsv{resource="t.dsv", delimiter=";", format=(int, skip, double)} . @import u :- dsv{resource="t.dsv", delimiter=";", format=(int, int, double), limit=7} . n(#count(?k)) :- u(?k, _, _) . r(?k, ?b, ?n) :- t(?k, ?b), n(?n) .', "k b n", "SELECT DISTINCT s_suppkey AS k, s_acctbal AS b, CAST(7 AS BIGINT) AS n FROM supplier"),
+    "ntriples_round_trip": trip(STATEMENTS + '@export t :- ntriples{resource="t.nt"} .', '@import t :- ntriples{resource="t.nt"} .' + FOUND, "k n g", FOUND_SQL),
+    "turtle_round_trip": trip(STATEMENTS + '@export t :- turtle{resource="t.ttl"} .', '@import t :- rdf{resource="t.ttl"} .' + FOUND, "k n g", FOUND_SQL),
+    "rdfxml_round_trip": trip(STATEMENTS + '@export t :- rdfxml{resource="t.rdf"} .', '@import t :- rdf{resource="t.rdf"} .' + FOUND, "k n g", FOUND_SQL),
+    "nquads_round_trip": trip(IN_GRAPHS + '@export t :- nquads{resource="t.nq"} .', '@import q :- nquads{resource="t.nq"} . t(?s, ?p, ?o) :- q(<http://e/graph>, ?s, ?p, ?o) .' + FOUND, "k n g", FOUND_SQL),
+    "trig_round_trip": trip(IN_GRAPHS + '@export t :- trig{resource="t.trig"} .', '@import q :- rdf{resource="t.trig"} . t(?s, ?p, ?o) :- q(<http://e/graph>, ?s, ?p, ?o) .' + FOUND, "k n g", FOUND_SQL),
+}
+
+
+def json_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document of all nations, imported as triples."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))).alias("value"))
+    rows.groupBy().agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("value")), ","), F.lit("]")).alias("value")).coalesce(1).write.text(f"{folder}/nations.json")
+    engine = Engine(spark, folder)
+    engine.run('@import j :- json{resource="nations.json"} . r(?n, ?k) :- j(0, _, ?row), j(?row, "name", ?a), j(?a, value, ?n), j(?row, "key", ?b), j(?b, value, ?k) . s(STR(?n), INT(?k)) :- r(?n, ?k) .', outputs=["s"])
+    return engine.relation("s", ["n", "k"])
+
+
+def parquet_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    engine.run('@import s :- parquet{resource="region.parquet"} . r(?n, ?k) :- s(?k, ?n) .', outputs=["r"])
+    return engine.relation("r", ["n", "k"])
+
+
+#: queries with no rule program over registered tables, and their SQL
+FILES = {
+    **{name: (t, t.sql) for name, t in ROUND_TRIPS.items()},
+    "json_import": (json_import, "SELECT n_name AS n, CAST(n_nationkey AS BIGINT) AS k FROM nation"),
+    "parquet_import": (parquet_import, "SELECT r_name AS n, CAST(r_regionkey AS BIGINT) AS k FROM region"),
+}
 HEADLINE = ("flagship_customer_spend", "join_aggregate_three_way", "aggregate_sum_told_apart", "self_join", "except_negation", "transitive_closure", "existential_restricted", "strings")

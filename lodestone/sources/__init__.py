@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import os
 import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..lang.ast import Import, Op, RuleError, Tuple_, Var, substitute
@@ -29,7 +33,7 @@ def parameters(spec: Import) -> dict:
     out = {k: evaluated(substitute(v, map_)) for k, v in spec.params.items()}
     allowed = PARAMETERS.get(spec.format)
     if allowed is None:
-        raise RuleError(f"no format is named {spec.format}", 220)
+        raise RuleError(f"no format is named {spec.format}", 231)
     for k, v in out.items():
         if k not in allowed:
             raise RuleError(f"format {spec.format} has no parameter {k}", 221)
@@ -55,7 +59,7 @@ def text_of(value, default=None):
 def resource_path(params: dict, base_dir: str) -> str:
     path = text_of(params.get("resource"))
     if not path:
-        raise RuleError("an import needs a resource", 222)
+        raise RuleError("an import needs a resource", 220)
     path = str(path)
     if path.startswith("file:"):
         path = re.sub(r"^file:(//)?", "", path)
@@ -63,7 +67,67 @@ def resource_path(params: dict, base_dir: str) -> str:
         return fetched(path, params)
     if re.match(r"[a-z0-9]+://", path) or os.path.isabs(path):
         return path
-    return path if re.match(r"[a-z0-9]+:/", base_dir) else os.path.join(base_dir, path)
+    return os.path.join(base_dir, path)
+
+
+def limit_of(params: dict) -> int | None:
+    limit = text_of(params.get("limit"))
+    if limit is None:
+        return None
+    if isinstance(limit, bool) or not isinstance(limit, int):
+        raise RuleError("a limit must be an integer", 222)
+    if limit < 0:
+        raise RuleError("a limit can't be negative", 224)
+    return limit
+
+
+def delimiter(params: dict, form: str) -> str:
+    sep = text_of(params.get("delimiter"), DSV[form])
+    if sep is None:
+        raise RuleError(f"format {form} needs a delimiter", 220)
+    if not isinstance(sep, str) or len(sep) != 1:
+        raise RuleError("a delimiter must be a single character", 225)
+    return sep
+
+
+def compression(params: dict) -> str | None:
+    """The compression named; files of a known ending need none named."""
+    named = text_of(params.get("compression"))
+    if named is not None and str(named) != "gzip":
+        raise RuleError(f"no compression is named {named}", 226)
+    return named
+
+
+def rdf_form(path: str) -> str:
+    ending = re.sub(r"\.gz$", "", path).rpartition("/")[2].rpartition(".")
+    if not ending[1]:
+        raise RuleError(f"{path} has no ending that names an RDF format", 229)
+    if ending[2] not in RDF_ENDINGS:
+        raise RuleError(f"no RDF format has the ending {ending[2]}", 230)
+    return RDF_ENDINGS[ending[2]]
+
+
+def plain(spark: SparkSession, path: str, params: dict) -> str:
+    """path as Spark's readers can take it: what is compressed without an ending that says so is written plain to the shared folder.
+
+    Gzip can't be read in splits anyhow, so one task unpacks a file, a few megabytes at a time.
+    """
+    if compression(params) is None or path.endswith(".gz"):
+        return path
+    import uuid
+
+    from ..plans.storage import shared_folder
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with gzip.open(io.BytesIO(content.as_buffer()), "rt", encoding="utf-8", newline="\n") as lines:
+                    while held := lines.readlines(4 << 20):
+                        yield pa.RecordBatch.from_arrays([pa.array("".join(held).removesuffix("\n").split("\n"))], names=["value"])
+
+    folder = f"{shared_folder(spark)}/plain-{uuid.uuid4().hex}"
+    spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string").write.text(folder)
+    return folder
 
 
 def pairs(value) -> list[tuple[str, str]]:
@@ -93,7 +157,7 @@ def load(spark: SparkSession, spec: Import, base_dir: str, arity: int | None) ->
     if spec.format in DSV:
         return dsv.read(spark, spec.format, params, base_dir, arity)
     if spec.format == "json":
-        return json_triples.read(spark, resource_path(params, base_dir))
+        return json_triples.read(spark, plain(spark, resource_path(params, base_dir), params))
     if spec.format == "sparql":
         return sparql.read(spark, params, arity)
     if spec.format == "parquet":

@@ -59,29 +59,35 @@ def formats_of(params: dict, arity: int | None) -> list[str] | None:
     names = [str(v.value) for v in spec.items] if isinstance(spec, Tuple_) else [str(spec.value)]
     for n in names:
         if n not in FORMATS:
-            raise RuleError(f"no column format is named {n}", 224)
+            raise RuleError(f"no column format is named {n}", 223)
     return names
 
 
+def breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether any line has an odd number of quotes. Where none has, no cell holds a line break, and files can be read in splits."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).take(1))
+
+
 def read(spark: SparkSession, form: str, params: dict, base_dir: str, arity: int | None) -> tuple[DataFrame, list[str]]:
-    from . import DSV, resource_path, text_of
+    from . import delimiter, limit_of, plain, resource_path, text_of
 
-    sep = text_of(params.get("delimiter"), DSV[form])
-    if sep is None:
-        raise RuleError("format dsv needs a delimiter", 223)
+    sep, limit = delimiter(params, form), limit_of(params)
     flag = lambda name, default: str(text_of(params.get(name), default)).lower() in ("true", "1")
     formats = formats_of(params, arity)
     if formats is None:
         raise RuleError("an import's number of columns isn't known", 232)
     width = len(formats)
     options = {"sep": sep, "header": str(flag("ignore_headers", False)).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_", "escape": '"', "enforceSchema": "true", "emptyValue": "", "nullValue": "\u0000"}
+    path = plain(spark, resource_path(params, base_dir), params)
     if not flag("quoting", True):
         options["quote"] = ""
-    path = resource_path(params, base_dir)
+    elif breaks_in_quotes(spark, path):
+        options["multiLine"] = "true"
     fields = ", ".join(f"f{i} string" for i in range(width))
     df = spark.read.options(**options).schema(f"{fields}, bad_ string").csv(path)
-    if (limit := text_of(params.get("limit"))) is not None:
-        df = df.limit(int(limit))
+    if limit is not None:
+        df = df.limit(limit)
     # a record with too few or too many fields is marked; reading all fields keeps the mark right
     df = df.where(F.col("bad_").isNull())
     columns, kinds, partial = [], [], []

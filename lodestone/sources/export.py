@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import ANY, Col, canonical_text, datatype, lexical, quote
 from ..lang.ast import Export, RuleError
+from ..lang.values import XSD
+from .dsv import formats_of
 
 
 def folder_or_file(df: DataFrame, path: str, overwrite: bool, gzip: bool) -> str:
@@ -21,15 +23,33 @@ def folder_or_file(df: DataFrame, path: str, overwrite: bool, gzip: bool) -> str
     return path
 
 
-def write_table(engine, pred: str, path: str, sep: str, overwrite: bool = True, gzip: bool = False, limit: int | None = None) -> str:
+def cell(col: Col, form: str) -> Column:
+    """A value as text in a column's format, NULL where the format can't hold it."""
+    if form == "any":
+        return canonical_text(col)
+    tag = col.c["t"] if col.k == ANY else F.lit(col.k)
+    fits = {"string": tag == "s", "int": tag.isin("n", "u"), "double": tag == "d", "float": tag == "f"}[form]
+    if form == "int" and col.k in (ANY, "o"):
+        fits = fits | (tag == "o") & (datatype(col) == XSD + "integer")
+    return F.when(fits, lexical(col))
+
+
+def write_table(engine, pred: str, path: str, sep: str, overwrite: bool = True, gzip: bool = False, limit: int | None = None, formats: list[str] | None = None) -> str:
+    """Delimited text; rows with a value that its column's format can't hold are left out, columns of format skip too."""
     stored = engine.relations[pred]
+    formats = formats or ["any"] * len(stored.kinds)
+    if len(formats) != len(stored.kinds):
+        raise RuleError(f"{pred} has {len(stored.kinds)} columns but {len(formats)} formats", 219)
     df = engine.relation(pred)
+    cells = []
+    for i, (k, form) in enumerate(zip(stored.kinds, formats)):
+        if form == "skip":
+            continue
+        text = cell(Col(F.col(f"c{i}"), k), form)
+        df = df.where(text.isNotNull())
+        cells.append(F.when(text.contains(sep) | text.contains('"') | text.rlike("[\r\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text))
     if limit is not None:
         df = df.limit(limit)
-    cells = []
-    for i, k in enumerate(stored.kinds):
-        text = canonical_text(Col(F.col(f"c{i}"), k))
-        cells.append(F.when(text.contains(sep) | text.contains('"') | text.contains("\n"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text))
     return folder_or_file(df.select(F.concat_ws(sep, *cells).alias("value")), path, overwrite, gzip)
 
 
@@ -86,15 +106,14 @@ def write_rdf(engine, pred: str, path: str, form: str, overwrite: bool, gzip: bo
 
 def write_export(engine, spec: Export, base_dir: str, overwrite: bool = True, gzip: bool = False) -> str:
     """Writes one @export; without a resource the file is named after the predicate, and ``stdout`` prints."""
-    from . import DSV, RDF_ENDINGS, parameters, text_of
+    from . import DSV, RDF_ENDINGS, compression, delimiter, limit_of, parameters, rdf_form, text_of
 
     params = parameters(spec)
     form = spec.format
-    gzip = gzip or str(text_of(params.get("compression"), "")).lower() == "gzip"
+    gzip = gzip or compression(params) == "gzip"
     endings = {**{v: k for k, v in RDF_ENDINGS.items()}, "dsv": "csv"}
     name = str(text_of(params.get("resource")) or f"{re.sub(r'\\W', '_', spec.pred)}.{endings.get(form, form)}")
-    limit = text_of(params.get("limit"))
-    limit = None if limit is None else int(limit)
+    limit = limit_of(params)
     if name == "stdout":
         df = engine.relation(spec.pred, strings=True)
         for row in (df.limit(limit) if limit is not None else df).toLocalIterator():
@@ -102,12 +121,9 @@ def write_export(engine, spec: Export, base_dir: str, overwrite: bool = True, gz
         return name
     path = name if os.path.isabs(name) or re.match(r"[a-z0-9]+:/", name) else os.path.join(base_dir, name)
     if form in DSV:
-        sep = text_of(params.get("delimiter"), DSV[form])
-        if sep is None:
-            raise RuleError("format dsv needs a delimiter", 223)
-        return write_table(engine, spec.pred, path, sep, overwrite, gzip, limit)
+        return write_table(engine, spec.pred, path, delimiter(params, form), overwrite, gzip, limit, formats_of(params, None))
     if form == "rdf":
-        form = RDF_ENDINGS.get(re.sub(r"\.gz$", "", name).rpartition(".")[2])
+        form = rdf_form(name)
     if form not in ("ntriples", "nquads", "turtle", "trig", "rdfxml"):
-        raise RuleError(f"{spec.format} can't be exported", 995 if spec.format == "json" else 230)
+        raise RuleError(f"{spec.format} can't be exported", 995)
     return write_rdf(engine, spec.pred, path, form, overwrite, gzip, limit)

@@ -36,5 +36,5 @@ def read_whole(spark: SparkSession, path: str, width: int, parse: Callable[[str,
                 if rows:
                     yield pa.RecordBatch.from_pylist([{n: as_dict(v) for n, v in zip(names, r)} for r in rows], schema=kind)
 
-    files = spark.read.option("wholetext", "true").text(path).select("value", F.input_file_name().alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     return files.mapInArrow(run, ", ".join(f"{n} {STRUCT}" for n in names)), [ANY] * width

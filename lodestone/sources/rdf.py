@@ -26,11 +26,14 @@ TERM = r'(<[^>]*>|_:[^\s<"]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^
 
 
 def unescaped(c: Column) -> Column:
-    """Escapes of N-Triples: rare, so lines without a backslash pass untouched."""
-    out = c
-    for a, b in ((r"\\t", "\t"), (r"\\n", "\n"), (r"\\r", "\r"), (r'\\"', '"'), (r"\\\\", r"\\")):
-        out = F.regexp_replace(out, a, b)
-    return F.when(c.contains("\\"), out).otherwise(c)
+    """Escapes of N-Triples, each read once from left to right; texts without a backslash pass untouched."""
+
+    def undone(p: Column) -> Column:
+        sign = F.when(F.length(p) == 6, F.decode(F.unhex(F.substr(p, F.lit(3))), "UTF-16BE")).when(F.length(p) == 10, F.decode(F.unhex(F.substr(p, F.lit(3))), "UTF-32"))
+        return F.when(~p.startswith("\\"), p).when(F.length(p) == 2, F.translate(F.substr(p, F.lit(2)), "tbnrf", "\t\b\n\r\f")).otherwise(F.coalesce(sign, p))
+
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"), F.lit(0))
+    return F.when(c.contains("\\"), F.array_join(F.transform(pieces, undone), "")).otherwise(c)
 
 
 WHOLE = [XSD + x for x in ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedShort", "unsignedByte", "unsignedLong")]
@@ -47,8 +50,8 @@ def term(df: DataFrame, source: str, out: str) -> DataFrame:
     whole = F.when(decimal, F.substring_index(text, ".", 1).try_cast("bigint")).when(F.col(kind).isin(*WHOLE), text.try_cast("bigint"))
     real = F.when(F.col(kind) == XSD + "double", finite(text.try_cast("double")))
     value = (
-        F.when(c.startswith("<"), struct_value("i", s=F.expr(f"substring({source}, 2, length({source}) - 2)")))
-        .when(c.startswith("_:"), struct_value("z", s=F.concat(F.lit("_:"), F.substring(F.md5("f"), 1, 8), F.lit("_"), F.substring(c, 3, 1000))))
+        F.when(c.startswith("<"), struct_value("i", s=unescaped(F.expr(f"substring({source}, 2, length({source}) - 2)"))))
+        .when(c.startswith("_:"), struct_value("z", s=F.concat(F.lit("_:"), F.substring(F.md5("f"), 1, 8), F.lit("_"), F.substr(c, F.lit(3)))))
         .when(F.col(lang) != "", struct_value("l", s=text, x=F.lower(lang)))
         .when((F.col(kind) == "") | (F.col(kind) == XSD + "string"), struct_value("s", s=text))
         .when(whole.isNotNull(), struct_value("n", n=whole))
@@ -61,7 +64,7 @@ def term(df: DataFrame, source: str, out: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, quads: bool) -> tuple[DataFrame, list[str]]:
-    lines = spark.read.text(path).select(F.trim("value").alias("l"), F.input_file_name().alias("f")).where("l <> '' and not startswith(l, '#')")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.trim("value").alias("l"), F.input_file_name().alias("f")).where("l <> '' and not startswith(l, '#')")
     pattern = r"^" + r"\s*".join([TERM] * 3) + (r"\s*(<[^>]*>|_:[^\s<\"]+)?" if quads else "") + r"\s*\.\s*(?:#.*)?$"
     places = [4, 1, 2, 3] if quads else [1, 2, 3]
     df = lines.where(F.col("l").rlike(pattern)).withColumns({f"p{k}": F.regexp_extract("l", pattern, k) for k in places})
@@ -287,14 +290,12 @@ def xml_triples(text: str, file: str, base: str | None) -> Iterator[tuple[Value,
 
 
 def read(spark: SparkSession, form: str, params: dict, base_dir: str) -> tuple[DataFrame, list[str]]:
-    from . import RDF_ENDINGS, resource_path, text_of
+    from . import limit_of, plain, rdf_form, resource_path, text_of
 
     path = resource_path(params, base_dir)
     if form == "rdf":
-        ending = re.sub(r"\.gz$", "", path).rpartition(".")[2]
-        form = RDF_ENDINGS.get(ending)
-        if form is None:
-            raise RuleError(f"no RDF format is known for {path}", 229)
+        form = rdf_form(path)
+    path = plain(spark, path, params)
     base = text_of(params.get("base"))
     if form in ("ntriples", "nquads"):
         df, kinds = read_lines(spark, path, form == "nquads")
@@ -303,8 +304,8 @@ def read(spark: SparkSession, form: str, params: dict, base_dir: str) -> tuple[D
     else:
         quads = form == "trig"
         df, kinds = read_whole(spark, path, 4 if quads else 3, lambda t, f: (row if quads else row[1:] for row in Turtle(t, f, base).run()))
-    if (limit := text_of(params.get("limit"))) is not None:
-        df = df.limit(int(limit))
+    if (limit := limit_of(params)) is not None:
+        df = df.limit(limit)
     spec = params.get("format")
     if spec is not None and hasattr(spec, "items"):
         keep = [i for i, v in enumerate(spec.items) if str(v.value) != "skip"]

@@ -63,7 +63,7 @@ def read(spark: SparkSession, params: dict, arity: int | None, bindings: tuple[l
 
     endpoint, query = text_of(params.get("endpoint")), text_of(params.get("query"))
     if not endpoint or not query:
-        raise RuleError("a SPARQL import needs an endpoint and a query", 222)
+        raise RuleError("a SPARQL import needs an endpoint and a query", 220)
     queries = [query] if bindings is None else [restricted(query, block) for block in pages(bindings[1], bindings[0])]
     rows = [row for q in queries for row in rows_of(send(str(endpoint), q))]
     width = arity or (len(rows[0]) if rows else 1)

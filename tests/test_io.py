@@ -23,20 +23,49 @@ def test_delimited(spark, tmp_path):
     assert got == [('""', 5, 1), ('"12a"', 7, '"5"^^<http://x>'), ('"x y"', 2, 3), ("<http://a>", -3, '"q"@en'), ("foo", 1, '"2.50"^^<http://www.w3.org/2001/XMLSchema#decimal>')]
     got = run(spark, tmp_path, '@import a :- csv{resource="h.csv",format=(int,int),ignore_headers=true}. @import b :- csv{resource=?f,format=(skip,string)}, ?f = "h.csv". @import c :- tsv{resource="z.tsv.gz",format=(int,string),limit=1}. r(?x) :- a(?x,_). q(?x) :- b(?x). s(?x,?y) :- c(?x,?y).')
     assert got["r"] == [(1,)] and got["q"] == [('"2"',), ('"3"',), ('"bar"',)] and len(got["s"]) == 1
-    for text, code in (('@import a :- dsv{resource="a.csv"}. r(?x) :- a(?x).', 223), ('@import a :- csv{resource="a.csv",oops=1}. r(?x) :- a(?x).', 221), ('@import a :- xyz{resource="a"}. r(?x) :- a(?x).', 220), ('@import a :- csv{resource="a.csv",format=(int)}. r(?x,?y) :- a(?x,?y).', 232)):
+    for text, code in (('@import a :- dsv{resource="a.csv"}. r(?x) :- a(?x).', 220), ('@import a :- csv{resource="a.csv",oops=1}. r(?x) :- a(?x).', 221), ('@import a :- xyz{resource="a"}. r(?x) :- a(?x).', 231), ('@import a :- csv{resource="a.csv",format=(int)}. r(?x,?y) :- a(?x,?y).', 232)):
         with pytest.raises(RuleError) as e:
             run(spark, tmp_path, text)
         assert e.value.code == code
 
 
+def test_line_breaks_in_cells_and_compression(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('a,"x\ny"\nb,"p ""q"" r"\nc,z\n')
+    (tmp_path / "packed.data").write_bytes(gzip.compress(b"1,x\n2,y\n" * 1 + b"3,z"))
+    (tmp_path / "packed.nt2").write_bytes(gzip.compress(b"<http://a> <http://p> 'no' .\n<http://a> <http://p> \"yes\" .\n"))
+    got = run(spark, tmp_path, '@import a :- csv{resource="b.csv",format=(string,string)}. @import b :- csv{resource="packed.data",compression=gzip,format=(int,string)}. @import c :- ntriples{resource="packed.nt2",compression=gzip}. r(?x,?y) :- a(?x,?y). s(?x,?y) :- b(?x,?y). t(?x) :- c(_,_,?x).')
+    assert got["r"] == [('"a"', '"x\\ny"'), ('"b"', '"p \\"q\\" r"'), ('"c"', '"z"')]
+    assert got["s"] == [(1, '"x"'), (2, '"y"'), (3, '"z"')] and got["t"] == [('"yes"',)]
+
+
+@pytest.mark.parametrize(
+    "spec, code",
+    [('csv{resource="b.csv",compression=zip}', 226), ('csv{resource="b.csv",limit=-1}', 224), ('csv{resource="b.csv",limit="x"}', 222), ('dsv{resource="b.csv",delimiter="::"}', 225), ("csv{}", 220), ('rdf{resource="b"}', 229), ('rdf{resource="b.csv"}', 230), ('csv{resource="b.csv",format=(odd,odd)}', 223)],
+)
+def test_import_checks(spark, tmp_path, spec, code):
+    with pytest.raises(RuleError) as e:
+        run(spark, tmp_path, f"@import a :- {spec}. r(?x,?y) :- a(?x,?y).")
+    assert e.value.code == code
+
+
+def test_triple_escapes(spark, tmp_path):
+    label = "b" * 1500
+    lines = [r'"C:\\new"', r'"\\"', r'"\\u00E9 \u00E9\U0001F600 \t\"q\""', rf"_:{label}1", rf"_:{label}2", r"<http://e/\u00E9>"]
+    (tmp_path / "n.nt").write_text("".join(f"<http://a> <http://p> {x} .\n" for x in lines))
+    engine = Engine(spark, str(tmp_path))
+    engine.run('@import a :- ntriples{resource="n.nt"}. r(?x) :- a(_,_,?x).')
+    got = {row[0].value for row in engine.rows("r")}
+    assert {"C:\\new", "\\", '\\u00E9 é😀 \t"q"', "http://e/é"} < got and len(got) == 6
+
+
 def test_json(spark, tmp_path):
-    (tmp_path / "j.json").write_text('{"b":[1,null],"a":true}')
+    (tmp_path / "j.json").write_text('{"b":[1,\nnull],\n"a":true}\n')
     got = run(spark, tmp_path, '@import a :- json{resource="j.json"}. r(?v) :- a(0,"b",?x), a(?x,0,?y), a(?y,value,?v). n(#count(?x)) :- a(?x,type,_).')
     assert got["r"] == [(1,)] and got["n"] == [(5,)]
 
 
 def test_rdf(spark, tmp_path):
-    (tmp_path / "t.ttl").write_text('@prefix ex: <http://e/> . ex:a a ex:B ; ex:p 1, 2.5, "x"@en . [ ex:q (1 2) ] ex:r ex:s .')
+    (tmp_path / "t.ttl").write_text('@prefix ex: <http://e/> .\nex:a\na ex:B ; ex:p 1, 2.5, "x"@en . [ ex:q (1 2) ] ex:r ex:s .')
     (tmp_path / "g.trig").write_text('@prefix ex: <http://e/> . ex:g { ex:a ex:p ex:b . } ex:c ex:d "e" .')
     (tmp_path / "n.nt").write_text('<http://a> <http://p> "x\\"y" .\n_:b <http://p> "5"^^<http://www.w3.org/2001/XMLSchema#integer> . # c\n')
     (tmp_path / "x.rdf").write_text('<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/"><e:T rdf:about="http://a"><e:p>v</e:p><e:q rdf:resource="http://b"/></e:T></rdf:RDF>')

@@ -1,7 +1,6 @@
 """Asking a distributed table about a block's distinct keys, and getting the answers back in order.
 
-A *block* is a few megabytes of documents. Its distinct keys go out in packed rows, one for each shard
-; the reducer of a shard sees every block's request, answers each distinct key once, and
+A *block* is a few megabytes of documents. Its distinct keys go out in packed rows, one for each shard; the reducer of a shard sees every block's request, answers each distinct key once, and
 replies with values in the request's order, so keys travel once and hot keys weigh one entry
 a block, however many rows hold them. Shards are cut by key hash, hence even; no key is ever gathered.
 """
@@ -14,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .arrays import mix
+from .session import shuffle_partitions
 
 PACKED = "block long, shard int, payload binary"
 SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", pa.binary())])
@@ -82,6 +83,15 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes
         yield from zip(b.column("block").to_pylist(), b.column("shard").to_pylist(), b.column("payload").to_pylist())
 
 
+SHARD_BYTES = 48 << 20  # of text for which there is one shard at least
+
+
+def shard_count(texts: Column, docs: DataFrame) -> int:
+    """How many shards the texts need for each to stay small, whatever the input's size: one pass adds up their bytes."""
+    size = docs.agg(F.sum(F.octet_length(texts).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
 def ask(requests: DataFrame, n_shards: int, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """Replies to requests; answer sees all of one shard's payloads and returns one reply for each."""
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACED, U64, buffers, distinct, mix, numbered, regrouped, words
-from .exchange import HOME, PACKED, block_of, gather, numbered_blocks, pack_batch, pack_numbers, row, rows_of, shards_of, unpack_batch, unpack_numbers
-from .session import prepare, shuffle_partitions
+from .exchange import HOME, PACKED, block_of, gather, numbered_blocks, pack_batch, pack_numbers, row, rows_of, shard_count, shards_of, unpack_batch, unpack_numbers
+from .session import prepare
 
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 TOTALS = -(1 << 63)  # the block number under which shards report their totals
@@ -84,8 +84,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Plan: blocks of documents send their distinct unigrams and bigrams with counts to shards by hash; shards add
     them up and reply; blocks score their own texts. Each key moves once a block and no count is dropped.
     """
-    spark = prepare(docs.sparkSession)
-    n = shuffle_partitions(spark)
+    prepare(docs.sparkSession)
+    n = shard_count(docs[text_col], docs)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.spark_partition_id().alias("part")).withColumn("fold", (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % FOLDS).cast("int"))
 
     def split(batches: Iterable[pa.RecordBatch], requests: bool, deleted: bool) -> Iterator[pa.RecordBatch]:

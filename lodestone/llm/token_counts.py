@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import bounded, numbered, owner
-from .exchange import HOME, PACKED, ask, block_of, gather, numbered_blocks, pack_batch, pack_numbers, row, shards_of, unpack_batch, unpack_numbers
+from .exchange import HOME, PACKED, ask, block_of, gather, numbered_blocks, pack_batch, pack_numbers, row, shard_count, shards_of, unpack_batch, unpack_numbers
 from .pretokens import Pieces, pretokens, split_specials, strings
-from .session import prepare, shuffle_partitions
+from .session import prepare
 
 LIMIT = 512
 
@@ -30,8 +30,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     back and are summed by document. No ids are made and no text is shuffled. The input is scanned twice, for
     frequencies and for requests, which costs less than storing either.
     """
-    spark = prepare(docs.sparkSession)
-    n = shuffle_partitions(spark)
+    prepare(docs.sparkSession)
+    n = shard_count(docs[text_col], docs)
 
     def split(batches: Iterable[pa.RecordBatch], requests: bool) -> Iterator[pa.RecordBatch]:
         for number_, batch in numbered_blocks(bounded(batches, "text", block_bytes)):

@@ -124,7 +124,7 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_token_ids(docs: DataFrame, tokenizer_path: str, folder: str, end: int | None = 0, planes: int = 4, id_col: str = "doc_id", text_col: str = "text", n_files: int | None = None) -> DataFrame:
-    """Writes ids in ascending id order (nulls first) and returns the manifest: path, start, n_docs, n_ids.
+    """Writes ids in ascending id order (nulls first, ties by a hash of the text, then the text) and returns the manifest: path, start, n_docs, n_ids.
 
     Rows are range-partitioned and sorted by id; a task writes files of about FILE_IDS ids under names of its
     own attempt and reports them, so a task that is run again can't spoil what another wrote; only files in the
@@ -162,9 +162,9 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, folder: str, end: int
             yield flush()
 
     schema = pa.schema([("part", pa.int32()), ("k", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    own = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("tie"), docs[text_col].alias("text"))
     n = n_files or shuffle_partitions(spark)
-    files = own.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(write, "part int, k int, file string, n_docs long, n_ids long").collect()
+    files = own.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie", "text").mapInArrow(write, "part int, k int, file string, n_docs long, n_ids long").collect()
     start, rows = 0, []
     for f in sorted(files, key=lambda f: (f.part, f.k)):
         rows.append((f.file, start, f.n_docs, f.n_ids))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,14 @@ def pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray
     return np.sqrt(np.maximum(x[:, None] + p[None] - 2 * vectors @ pivots.T, 0)), 1e-6 * (np.sqrt(x) + np.sqrt(p.max()))
 
 
+def distances(by_axis: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances of vectors given axis by axis; squares are added in the order of the axes."""
+    total = np.zeros(by_axis.shape[1])
+    for axis, x in zip(by_axis, vector):
+        total += (axis - x) ** 2
+    return np.sqrt(total)
+
+
 class Postings:
     """Inverted files of a block: for each pivot, the rows that have it in their prefix, and at which rank."""
 
@@ -71,9 +80,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     Pivots are drawn farthest-first from the ``POOL * n_pivots`` distinct vectors with the least hash, so that copies
     and near copies, however many, take the place of few; every row is indexed. Rows whose
-    vector is null, empty, zero or holds a null or non-finite component, and rows without an id, take no part; nor do
-    rows of another dimension than most (the larger, if equal). Rows that repeat a query id ask once (the vector that
-    sorts first). Of rows with one same vector only the k + 1 of least id can be among a query's k nearest, so the
+    vector is null, empty, zero or holds a null or non-finite component, and rows without an id, take no part.
+    Vectors of several dimensions are searched each among those of its own, one index a dimension; rows that repeat a
+    query id ask once a dimension (the vector that sorts first). Of rows with one same vector only the k + 1 of least id can be among a query's k nearest, so the
     index holds those (found by a limited window, without gathering the rest). Fewer candidates than k give fewer rows.
 
     Plan: index rows fall into blocks of about ``block`` by hash of id; the packed queries visit every block; there,
@@ -84,15 +93,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     """
     spark = prepare(vectors.sparkSession)
     own = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = own.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], result)
-    own = own.where(F.size("v") == sizes[0].d)
+    sizes = own.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    found = [nearest_of_one_dimension(own.where(F.size("v") == r.d), r.n, k, n_pivots, prefix, share, block) for r in sizes]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+
+
+def nearest_of_one_dimension(own: DataFrame, n_rows: int, k: int, n_pivots: int, prefix: int, share: float, block: int) -> DataFrame:
+    """nearest for rows (id, v, q) whose vectors have one dimension."""
+    spark = own.sparkSession
     rows = own.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(POOL * n_pivots).collect()
     pivots = spread(np.array([r.v for r in rows]), n_pivots)
     prefix = min(prefix, len(pivots))
-    n_blocks = max(1, -(-sizes[0].n // block))
+    n_blocks = max(1, -(-n_rows // block))
     indexed = own.select("id", "v").distinct().withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("copy") <= k + 1).drop("copy")
     queries = own.where("q").groupBy("id").agg(F.min("v").alias("v"))
 
@@ -125,6 +137,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                 ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 order = np.argsort(ids, kind="stable")
                 ids, x = ids[order], x[order]
+                by_axis = np.ascontiguousarray(x.T)
                 index = Postings(pivot_orders(x, pivots, prefix), len(pivots))
                 away, slack = pivot_distances(x, pivots)
             most = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
@@ -133,8 +146,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             for query, vector, own_order, own_away, own_slack in zip(asked.tolist(), y, pivot_orders(y, pivots, prefix), *pivot_distances(y, pivots)):
                 close = index.closeness(own_order)
                 near = np.argsort(-close, kind="stable")[:most]
-                gap = x[near] - vector
-                score = np.sqrt((gap * gap).sum(1))
+                score = distances(by_axis[:, near], vector)
                 other = ids[near] != query
                 near, score = near[other], score[other]
                 best = np.lexsort((ids[near], score))[:k]
@@ -144,8 +156,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                 if len(best) == k:
                     for pivot in own_order[:BOUNDS].tolist():
                         rest = rest[~(np.abs(away[rest, pivot] - own_away[pivot]) > score[best[-1]] + slack[rest] + own_slack)]
-                gap = x[rest] - vector
-                near, score = np.append(near, rest), np.append(score, np.sqrt((gap * gap).sum(1)))
+                near, score = np.append(near, rest), np.append(score, distances(by_axis[:, rest], vector))
                 best = np.lexsort((ids[near], score))[:k]
                 out.append((np.full(len(best), query), ids[near[best]], score[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])

@@ -2,11 +2,13 @@
 
 import collections
 import math
+import os
 import random
 import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -14,8 +16,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestone.llm import arrays, boosting, decontamination, dom, exchange, html_extraction, language_id, language_model, mixing, near_duplicates, permutation_index, pretokens, quality, token_counts, token_output
+from lodestone.llm import arrays, boosting, decontamination, dom, exchange, html_extraction, language_id, language_model, mixing, near_duplicates, permutation_index, pretokens, quality, queries, token_counts, token_output
 
+SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -443,6 +446,18 @@ def test_near_duplicate_edges(spark, edge_docs):
     assert near_duplicates.near_duplicates(edge_docs.limit(0), 2).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns) and rows(got.select(*columns)) == sorted(found.fetchall(), key=str)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 52, 1000, dtype=np.uint64)

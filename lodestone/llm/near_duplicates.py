@@ -247,7 +247,7 @@ def linked(docs: DataFrame, shingle: int, percent: int, slots: int, rows: int, t
     entries = some.select(F.explode("bands").alias("key"), "row", "a")
     busy = entries.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key")
     placed = entries.select("key", "row").join(busy, "key").join(copies.select("row"), "row", "left_anti").select("key", "row").checkpoint()
-    lead = placed.groupBy("key").agg(F.min("row").alias("lead"))
+    lead = placed.groupBy("key").agg(F.min("row").alias("lead")).checkpoint()
     clusters = components(placed.join(lead, "key").select(F.col("row").alias("u"), F.col("lead").alias("v"))).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
     roster = some.select("row", "file", "at", "n").join(clusters, "row").checkpoint()
     sizes = roster.groupBy("cluster").agg(((F.count(F.lit(1)) > tile) | (F.sum("n") > tile_shingles)).alias("large"))

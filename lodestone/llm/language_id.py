@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,39 +133,61 @@ class Models:
             return -sums / sizes[:, None]
 
 
+def gram_counts(signs: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram, its context, itself without its first sign, how often it occurs) of the distinct n-grams of texts."""
+    real = np.ones(len(signs), bool)
+    real[(bounds[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
+    at = np.flatnonzero(real)
+    gram, first, which = numbered(ngram_hashes(signs, order)[at])
+    at = at[first]
+    before = ngram_hashes(signs, order - 1) if order > 1 else np.zeros(len(signs), U64)
+    return gram, before[at - 1], before[at], np.bincount(which, minlength=len(gram))
+
+
 def learn(texts: dict[str, list[str]], calibration: dict[str, list[str]]) -> Models:
-    """Models of all languages over the union of their n-grams, so that one lookup serves them all."""
+    """Models of texts by language, calibrated on others (or on the same where there are none)."""
     languages = sorted(texts)
-    size = len(languages)
     parts = [characters(pa.array(texts[x], pa.large_string())) for x in languages]
-    alphabet = len(np.unique(np.concatenate([p[0] for p in parts]))) + 1 if parts else 1
+    counted = []
+    for order in range(1, ORDER + 1):
+        own = [gram_counts(signs, bounds, order) for signs, bounds, _ in parts]
+        owner = np.repeat(np.arange(len(own)), [len(o[0]) for o in own])
+        counted.append((owner, *(np.concatenate([np.zeros(0, U64), *(o[i] for o in own)]) for i in range(4))))
+    models = build(languages, counted)
+    for number, language in enumerate(languages):
+        signs, bounds, letters = characters(pa.array(calibration.get(language) or texts[language], pa.large_string()))
+        calibrate(models, number, models.entropies(signs, bounds)[:, number][letters >= 20])
+    return models
+
+
+def calibrate(models: Models, number: int, entropies: np.ndarray) -> None:
+    """Sets the cross-entropy above which a language's model rejects a text, from those of texts in the language."""
+    if len(entropies):
+        middle = np.median(entropies)
+        wide = max(np.quantile(entropies, 0.995) - middle, 0.05)
+        models.limit[number], models.spread[number] = middle + 3.5 * wide, wide
+
+
+def build(languages: list[str], counted: list[tuple[np.ndarray, ...]]) -> Models:
+    """Models of all languages over the union of their n-grams, so that one lookup serves them all.
+
+    counted holds by order the (language's number, n-gram, context, n-gram without its first sign, times) of the
+    distinct n-grams of each language.
+    """
+    size = len(languages)
     keys: list[np.ndarray] = []
     context_of: list[np.ndarray] = []
     shorter: list[np.ndarray] = []
     counts: list[np.ndarray] = []
-    for order in range(1, ORDER + 1):
-        grams, contexts, suffixes, owners, times = [], [], [], [], []
-        for number, (signs, bounds, _) in enumerate(parts):  # a language at a time: only distinct n-grams are kept
-            real = np.ones(len(signs), bool)
-            real[(bounds[:-1, None] + np.arange(ORDER - 1)).reshape(-1)] = False
-            at = np.flatnonzero(real)
-            gram, first, which = numbered(ngram_hashes(signs, order)[at])
-            at = at[first]
-            before = ngram_hashes(signs, order - 1) if order > 1 else np.zeros(len(signs), U64)
-            grams.append(gram)
-            contexts.append(before[at - 1])
-            suffixes.append(before[at])
-            owners.append(np.full(len(at), number))
-            times.append(np.bincount(which, minlength=len(gram)))
-        none = np.zeros(0, U64)
-        gram, first, which = numbered(np.concatenate([none, *grams]))
+    for owners, grams, contexts, suffixes, times in counted:
+        gram, first, which = numbered(grams)
         table = np.zeros((len(gram), size))
-        if size:
-            table[which, np.concatenate(owners)] = np.concatenate(times)
+        table[which, owners] = times
         keys.append(gram)
-        context_of.append(np.concatenate([none, *contexts])[first])
-        shorter.append(np.concatenate([none, *suffixes])[first])
+        context_of.append(contexts[first])
+        shorter.append(suffixes[first])
         counts.append(table)
+    alphabet = len(keys[0]) + 1
     for order in range(ORDER - 1, 0, -1):  # lower orders count the different signs seen before an n-gram
         follow = np.zeros_like(counts[order - 1])
         where = np.searchsorted(keys[order - 1], shorter[order])
@@ -182,15 +205,7 @@ def learn(texts: dict[str, list[str]], calibration: dict[str, list[str]]) -> Mod
         lower = np.maximum(counts[order - 1] - DISCOUNT, 0) / np.maximum(total, 1)[which] + left[which] * below
         grams_.append(Table(keys[order - 1], np.log(np.maximum(lower, 1e-300)).astype(np.float32)))
         backoffs.append(Table(context, np.log(np.maximum(left, 1e-300)).astype(np.float32)))
-    models = Models(languages, grams_, backoffs, np.full(size, np.log(1 / alphabet), np.float32), np.full(size, np.inf), np.ones(size))
-    for number, language in enumerate(languages):
-        held = calibration.get(language) or texts[language]
-        signs, bounds, letters = characters(pa.array(held, pa.large_string()))
-        h = models.entropies(signs, bounds)[:, number][letters >= 20]
-        if len(h):
-            middle, wide = np.median(h), max(np.quantile(h, 0.995) - np.median(h), 0.05)
-            models.limit[number], models.spread[number] = middle + 3.5 * wide, wide
-    return models
+    return Models(languages, grams_, backoffs, np.full(size, np.log(1 / alphabet), np.float32), np.full(size, np.inf), np.ones(size))
 
 
 def predict(models: Models, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -216,23 +231,62 @@ def predict(models: Models, column: pa.Array) -> tuple[list[str], np.ndarray, np
 
 
 def learn_models(docs: DataFrame, text_col: str, lang_col: str, order_col: str, sample: int = SAMPLE) -> Models:
-    """Models from a bounded sample: per language the ``sample`` labelled documents with the least hash of order_col, whole, and a third more to calibrate.
+    """Models from a bounded sample: per language the ``sample`` labelled documents with the least hash of order_col and text, whole, and a third more to calibrate.
 
-    Languages are counted first, and a hash threshold then keeps about twice what is needed, so no language is ever sorted.
+    Languages are counted first; a hash threshold then keeps about twice what is needed, whose hashes alone give the
+    exact cuts, so no language is ever sorted. Rows with one hash, being copies, are taken once. N-grams are counted in
+    tasks and added up by Spark; the driver gets the counts of distinct n-grams and the entropies of the calibration,
+    never a text.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(order_col).alias("h"))
+    spark = prepare(docs.sparkSession)
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(order_col, text_col).alias("h"))
     need = sample + sample // 3
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keep = F.lit(False)
-    for language, n in counts.items():
-        share = min(1.0, (2 * need + 50) / n)
-        keep = keep | ((F.col("lang") == language) & (F.col("h") <= min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))))
-    rows: dict[str, list[tuple[int, str]]] = {language: [] for language in counts}
-    for r in known.where(keep).toLocalIterator():
-        rows[r.lang].append((r.h, r.text))
-    chosen = {language: [t for _, t in sorted(found)[:need]] for language, found in rows.items()}
-    held = {language: found[: len(found) // 4] for language, found in chosen.items()}
-    return learn({language: found[len(found) // 4 :] for language, found in chosen.items()}, held)
+    languages = sorted(counts)
+
+    def below(limits: dict[str, int]) -> Column:
+        return reduce(lambda x, y: x | y, [(F.col("lang") == language) & (F.col("h") <= top) for language, top in limits.items()], F.lit(False))
+
+    rough = {language: min((1 << 63) - 1, int(min(1.0, (2 * need + 50) / n) * 2.0**64) - (1 << 63)) for language, n in counts.items()}
+    hashes: dict[str, list[int]] = {language: [] for language in counts}
+    for r in known.where(below(rough)).select("lang", "h").distinct().toLocalIterator():
+        hashes[r.lang].append(r.h)
+    chosen = {language: sorted(found)[:need] for language, found in hashes.items() if found}
+    held = {language: found[len(found) // 4 - 1] for language, found in chosen.items() if len(found) >= 4}
+    taken = known.where(below({language: found[-1] for language, found in chosen.items()})).dropDuplicates(["lang", "h"]).withColumn("held", below(held)).checkpoint()
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text", 1 << 20):
+            for language in batch.column("lang").unique().to_pylist():
+                signs, bounds, _ = characters(batch.column("text").filter(pc.equal(batch.column("lang"), language)))
+                for order in range(1, ORDER + 1):
+                    gram, context, shorter, times = gram_counts(signs, bounds, order)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(gram), languages.index(language))), pa.array(np.full(len(gram), order)), *(pa.array(x.view(np.int64)) for x in (gram, context, shorter)), pa.array(times)], names=["number", "ord", "gram", "context", "shorter", "times"]
+                    )
+
+    grams = taken.where("not held").mapInArrow(count, "number long, ord long, gram long, context long, shorter long, times long")
+    found = grams.groupBy("number", "ord", "gram").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("times").alias("times")).toArrow()
+    column = {c: found.column(c).to_numpy() for c in found.column_names}
+    counted = []
+    for order in range(1, ORDER + 1):
+        own = column["ord"] == order
+        counted.append((column["number"][own], *(column[c][own].view(U64) for c in ("gram", "context", "shorter")), column["times"][own]))
+    models = build(languages, counted)
+    shipped = spark.sparkContext.broadcast(models)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text", 1 << 20):
+            signs, bounds, letters = characters(batch.column("text"))
+            number = np.array([languages.index(x) for x in batch.column("lang").to_pylist()])
+            h = shipped.value.entropies(signs, bounds)[np.arange(len(number)), number]
+            yield pa.RecordBatch.from_arrays([pa.array(number), batch.column("held"), pa.array(h)], names=["number", "held", "h"]).filter(pa.array(letters >= 20))
+
+    measured = taken.select("lang", "held", "text").mapInArrow(measure, "number long, held boolean, h double").toArrow()
+    number, held_out, h = (measured.column(c).to_numpy() for c in ("number", "held", "h"))
+    for i, language in enumerate(languages):
+        calibrate(models, i, h[(number == i) & (held_out == (language in held))])
+    return models
 
 
 def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
@@ -254,7 +308,7 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row; learns where crc32(id as text) mod folds is not held_out.
+    """doc_id, held_out, lang_pred, score and accepted of every row; learns where crc32(id as text) mod folds is not held_out.
 
     Nulls in lang are not learned from; with no labelled row every prediction is ``und``. Repeated rows and null
     ids (crc32 of the empty text) get a row each; ties go to the first language by name; an empty table gives an
@@ -263,4 +317,4 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     own = own.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == held_out)
     models = learn_models(own.where(~F.col("held_out")), "text", "lang", "doc_id", sample)
-    return identify(own.drop("lang"), models).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return identify(own.drop("lang"), models).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))

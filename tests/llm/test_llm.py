@@ -115,6 +115,30 @@ def test_mixing(spark, edge_docs):
     assert len(edge) == len(EDGES) and all(x.taken <= 3 * x.size for x in edge)
 
 
+def test_rates_are_the_duals(spark):
+    r = random.Random(9)
+    data = [(s, r.choice((1, 3, 10, 50, 400))) for s in ("a", "b", None) for _ in range(80)]
+    sized = spark.createDataFrame(data, "source string, size long")
+    targets = mixing.source_targets(sized, (1, 2, 3), 3)
+    goal = {x.source: (x.source_size, x.target) for x in targets.collect()}
+    for x in mixing.entropy_balance(sized, targets, 3.0).collect():
+        sizes = [n for s, n in data if s == x.source]
+        assert math.isclose(x.mean, sum(sizes) / len(sizes))
+        if x.tilt is None:
+            assert math.isclose(goal[x.source][1], 3 * goal[x.source][0])
+        else:  # the rates that the dual gives meet the token constraint
+            assert math.isclose(sum(n * min(3.0, math.exp(x.tilt * n / x.mean)) for n in sizes), goal[x.source][1], rel_tol=1e-8)
+
+
+def test_mixed_rows_are_the_copies(spark, edge_docs):
+    docs = spark.createDataFrame([(i, t, "en", "abc"[i % 3], 0) for i, t in corpus(31, 60)], SCHEMA).unionByName(edge_docs).selectExpr("*", "n_chars as copies", "doc_id as `x.y`")
+    copies = {(r.doc_id, r.size, r.source): r.copies for r in mixing.mix_sources(docs).collect()}
+    got = collections.Counter((r.doc_id, len(SPACED.findall(r.text or "")), r.source) for r in mixing.mixed_rows(docs).collect())
+    repeated = collections.Counter((r.doc_id, len(SPACED.findall(r.text or "")), r.source) for r in docs.collect())
+    assert {k: copies[k] * n for k, n in repeated.items() if copies[k]} == dict(got)
+    assert mixing.mixed_rows(docs).columns == docs.columns and mixing.mix_sources(docs.limit(0)).count() == mixing.mixed_rows(docs.limit(0)).count() == 0
+
+
 # 2 extraction
 
 
@@ -341,6 +365,43 @@ def test_language_model(spark):
     assert sum(got[i].score for i in tokens if i in train) > sum(got[i].base_score for i in tokens if i in train)
 
 
+def test_language_model_scores_by_brute_force(spark):
+    docs = corpus(21, 50) + [(900, None), (901, ""), (None, "w1 w2"), (902, "unheard words")]
+    docs += [(5, docs[5][1])]
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10
+    tokens = [[*SPACED.findall(lower(t)), "</s>"] for _, t in docs]
+    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+    for (i, _), w in zip(docs, tokens):
+        if fold(i) != 0:
+            one.update(w)
+            two.update(zip(["<s>", *w], w))
+            context.update(["<s>", *w[:-1]])
+    n, floor = sum(one.values()), 1 / (len(one) + 1)
+    bucket = lambda c: int(math.floor(math.log2(c)) + 1) if c > 0 else 0
+    place = lambda p: int(np.rint(-language_model.STEPS * np.log2(p))) + 1 if p > 0 else 0
+    histogram = collections.Counter()
+    for (i, _), w in zip(docs, tokens):
+        if fold(i) == 1:
+            for h, t in zip(["<s>", *w], w):
+                histogram[bucket(context[h] - 1), place((two[h, t] - 1) / max(context[h] - 1, 1)), place((one[t] - 1) / max(n - 1, 1))] += 1
+    assert histogram
+    weights = language_model.learn_weights(dict(histogram), floor)
+    expected = []
+    for (i, _), w in zip(docs, tokens):
+        total = 0.0
+        for h, t in zip(["<s>", *w], w):
+            a, b, c = weights[bucket(context[h])]
+            total += math.log10(a * two[h, t] / max(context[h], 1) + b * one[t] / n + c * floor)
+        expected.append((i, fold(i) == 0, len(w), sum(one[t] > 0 for t in w), n, total))
+    got = language_model.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=2000).collect()
+    key = lambda x: (str(x[0]), x[-1])
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in got), key=key)
+    for x, y in zip(got, sorted(expected, key=key), strict=True):
+        assert x[:-1] == y[:-1] and math.isclose(x[-1], y[-1], rel_tol=1e-9)
+    empty = spark.createDataFrame([], "doc_id long, text string, score double, block long")
+    assert language_model.score_documents(empty).count() == 0
+
+
 def test_mixture_weights():
     w = language_model.learn_weights({(3, 5, 9): 80, (3, 0, 9): 15, (3, 0, 0): 5, (0, 0, 9): 10}, 1e-4)
     assert np.allclose(w.sum(1), 1) and w[3, 0] > 0.6 and w[0, 0] == 0 and (w > 0)[1:].all()
@@ -358,6 +419,58 @@ def test_language_models_are_distributions():
         assert (total < 1 + 1e-4).all() and (total > 0.5).all()
 
 
+def kneser_ney(texts, alphabet, order=4, discount=0.75):
+    """p(sign | context), by the book: counts of the highest order, numbers of different signs before in lower ones."""
+    counts = {n: collections.Counter() for n in range(1, order + 1)}
+    for t in texts:
+        padded = " " * (order - 1) + t
+        for i in range(order - 1, len(padded)):
+            counts[order][padded[i - order + 1 : i + 1]] += 1
+    raw = {n: {(" " * (order - 1) + t)[i - n + 1 : i + 1] for t in texts for i in range(order - 1, len(t) + order - 1)} for n in range(1, order + 1)}
+    for n in range(order - 1, 0, -1):
+        for gram in raw[n + 1]:
+            counts[n][gram[1:]] += 1
+
+    def probability(gram):
+        if not gram:
+            return 1 / alphabet
+        n, context = len(gram), gram[:-1]
+        own = {g: c for g, c in counts[n].items() if g[:-1] == context}
+        total = sum(own.values())
+        if not total:
+            return probability(gram[1:])
+        return max(own.get(gram, 0) - discount, 0) / total + discount * len(own) / total * probability(gram[1:])
+
+    return probability
+
+
+def test_language_models_by_the_book():
+    texts = {"a": ["abab abba baab", "ab ba", "bba"], "b": ["xyxy yxyx axa", "xa ya"], "c": ["ab xy"]}
+    models = language_id.learn(texts, {})
+    alphabet = len(set("".join(sum(texts.values(), [])))) + 1
+    asked = ["abba xyx", "q ab", "ya", "bbbb"]
+    signs, bounds, _ = language_id.characters(pa.array(asked, pa.large_string()))
+    h = models.entropies(signs, bounds)
+    for j, k in enumerate(models.languages):
+        p = kneser_ney(texts[k], alphabet)
+        for i, t in enumerate(asked):
+            padded = "   " + t
+            assert math.isclose(h[i, j], -sum(math.log(p(padded[n - 3 : n + 1])) for n in range(3, len(padded))) / len(t), rel_tol=1e-4)
+
+
+def test_models_counted_in_tasks_are_those_of_the_texts(spark):
+    r = random.Random(4)
+    docs = [(i, prose(r, 40, 30) if i % 2 else " ".join(f"v{r.choice('aeiou')}z" for _ in range(15)), "ab"[i % 2], "s", 0) for i in range(60)] + [(7, "same text", "a", "s", 0)] * 9
+    got = language_id.learn_models(spark.createDataFrame(docs, SCHEMA), "text", "lang", "doc_id", sample=12)
+    assert got.languages == ["a", "b"] and all(math.isfinite(x) for x in got.limit)
+    assert language_id.learn_models(spark.createDataFrame(docs, SCHEMA).repartition(5), "text", "lang", "doc_id", sample=12).limit.tolist() == got.limit.tolist()
+    whole = language_id.learn_models(spark.createDataFrame([d for d in docs if d[0] < 3], SCHEMA), "text", "lang", "doc_id")
+    same = language_id.learn({"a": [d[1] for d in docs if d[0] in (0, 2)], "b": [docs[1][1]]}, {})
+    assert all((x.keys == y.keys).all() and np.allclose(x.values, y.values) for x, y in zip(whole.grams + whole.backoffs, same.grams + same.backoffs))
+    empty = language_id.learn_models(spark.createDataFrame([], SCHEMA), "text", "lang", "doc_id")
+    assert empty.languages == [] and language_id.predict(empty, pa.array(["abc", None], pa.large_string()))[0] == ["und", "und"]
+
+
 def test_short_texts_are_rejected_like_long_ones():
     r = random.Random(3)
     make = {"en": "the and of with for this".split(), "de": "der und mit nicht ein das".split()}

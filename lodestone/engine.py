@@ -21,6 +21,7 @@ from .plans.storage import materialised
 from .sources import load
 
 COMPACT = 8  # deltas of a relation that are kept apart before they are written as one
+LARGE = 4  # a relation of more rows than so many broadcasts isn't shuffled to find out what is new among few rows
 
 
 @dataclass
@@ -33,6 +34,7 @@ class Stored:
     steps: list[tuple[int, DataFrame]] = field(default_factory=list)
     changed: int = 0
     pieces: int = 1
+    rows: int = 0  # counted while rules add to it
 
 
 class Engine:
@@ -213,13 +215,18 @@ class Engine:
     def _add(self, pred: str, found: DataFrame) -> tuple[DataFrame, int]:
         """Materialises what is new in found, adds it to the relation, and gives it with its count."""
         s = self.relations[pred]
-        fresh = found.distinct()
+        fresh, known = found.distinct(), s.df
+        keys = reduce(lambda x, y: x & y, [F.col(f"a.c{i}") == F.col(f"b.c{i}") for i in range(len(s.kinds))], F.lit(True))
+        if s.pieces and s.rows > LARGE * self.broadcast_rows:
+            fresh = materialised(fresh)
+            if fresh.count() <= self.broadcast_rows:  # then what is known of it is looked up where it lies, and only that moves
+                known = s.df.alias("a").join(F.broadcast(fresh.alias("b")), keys, "left_semi")
         if s.pieces:
-            keys = [F.col(f"a.c{i}") == F.col(f"b.c{i}") for i in range(len(s.kinds))]
-            fresh = fresh.alias("a").join(s.df.alias("b"), reduce(lambda x, y: x & y, keys), "left_anti")
+            fresh = fresh.alias("a").join(known.alias("b"), keys, "left_anti")
         fresh = materialised(fresh)
         n = fresh.count()
         if n:
+            s.rows += n
             s.pieces += 1
             s.df = s.df.union(fresh) if s.pieces > 1 else fresh
             if s.pieces > COMPACT:
@@ -295,8 +302,8 @@ class Engine:
             self.step += 1
             if self.step > self.max_steps:
                 raise RuleError(f"the chase hasn't ended after {self.max_steps} steps")
-            last[at] = self.step - 1 if any(p in {h.pred for h in rule.head} for p in reads) else self.step
-            if self._apply(rule, at):
+            since, last[at] = last[at], self.step - 1 if any(p in {h.pred for h in rule.head} for p in reads) else self.step
+            if self._apply(rule, at, since):
                 idle = 0
                 if any(p in {h.pred for h in rule.head} for p in reads):
                     continue  # a rule that feeds itself goes on until it derives nothing
@@ -306,13 +313,32 @@ class Engine:
             last[at] = self.step
             at = (at + 1) % len(rules)
 
-    def _apply(self, rule: Rule, number: int) -> int:
+    def _since(self, pred: str, step: int) -> Relation:
+        """What was added to a relation after a step."""
+        s = self.relations[pred]
+        frames = [df for at, df in s.steps if at > step]
+        return Relation(reduce(DataFrame.union, frames) if frames else s.df.where(F.lit(False)), s.kinds)
+
+    def _apply(self, rule: Rule, number: int, since: int) -> int:
+        """One application of a rule to what has come since its last one, at each place of the body in turn."""
         invents = [h for h in rule.head if any(v.kind == "!" for v in variables(h))]
+        places: list[int | None] = [None]
+        if since >= 0:
+            places = [i for i, x in enumerate(rule.body) if isinstance(x, Atom) and self.relations[x.pred].changed > since]
+        pickers = [lambda i, a, at=at: self._since(a.pred, since) if i == at else self._relation(a.pred) for at in places]
         if not invents:
-            return sum(self._add(p, df)[1] for p, df in self._heads(rule))
-        bound = plan.body(rule, lambda i, a: self._relation(a.pred), lambda a: self._relation(a.pred))
+            found: dict[str, list[DataFrame]] = {}
+            for at, pick in zip(places, pickers):
+                for p, df in self._heads(rule, at, pick):
+                    found.setdefault(p, []).append(df)
+            return sum(self._add(p, reduce(DataFrame.union, frames))[1] for p, frames in found.items())
+        bodies = [plan.body(rule, pick, lambda a: self._relation(a.pred), at) for at, pick in zip(places, pickers)]
         frontier = [v for v in dict.fromkeys(v for h in rule.head for v in variables(h) if v.kind == "?")]
-        matches = Bound(materialised(bound.df.select(*[name_of(v) for v in frontier], F.lit(1).alias("one_")).distinct()), {v: bound.kinds[v] for v in frontier})
+        kinds = {v: bodies[0].kinds[v] for v in frontier}
+        frames = [b.df.select(*[name_of(v) for v in frontier], F.lit(1).alias("one_")) for b in bodies]
+        matches = Bound(materialised(reduce(DataFrame.union, frames).distinct()), kinds)
+        if since >= 0 and not matches.df.take(1):
+            return 0
         # where the head already holds for some values of its existential variables
         plain = {v: Var(f"e_{v.name}", "?") for h in rule.head for v in variables(h) if v.kind == "!"}
         pattern = Rule([], [substitute(h, plain) for h in invents])
@@ -323,6 +349,8 @@ class Engine:
             satisfied = plan.body(pattern, lambda i, a: self._relation(a.pred), lambda a: self._relation(a.pred))
             seen = Bound(satisfied.df.select(*[name_of(v) for v in fresh_ops], F.lit(1).alias("two_")).distinct().drop("two_") if fresh_ops else satisfied.df, {v: satisfied.kinds[v] for v in fresh_ops})
             inventing = Bound(matches.df.select(*[name_of(v) for v in fresh_ops], "one_").distinct(), {v: matches.kinds[v] for v in fresh_ops})
+            if since >= 0 and fresh_ops and matches.df.count() <= self.broadcast_rows:  # the head's rows are looked up where they lie
+                seen = plan.join(seen, Bound(F.broadcast(inventing.df.drop("one_")), inventing.kinds), "left_semi")
             todo = plan.join(inventing, seen, "left_anti")
         key = [F.lit(f"{rule.name or ''}#{number}#{','.join(h.pred for h in rule.head)}")] + [canonical_text(Col(F.col(name_of(v)), todo.kinds[v])) for v in todo.kinds]
         df, kinds = todo.df, dict(todo.kinds)

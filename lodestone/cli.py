@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from itertools import chain
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
     p.add_argument("--print-facts", choices=("none", "idb", "edb", "all"), default="none")
     p.add_argument("--trace", action="append", default=[], help="facts to explain")
+    p.add_argument("--trace-predicate", action="append", default=[], help="predicates all of whose facts to explain")
     p.add_argument("--trace-output")
     p.add_argument("--report", choices=("none", "short", "time", "all"), default="short")
     p.add_argument("--no-warnings", action="store_true")
@@ -41,7 +43,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or (builder.master(args.master) if args.master else builder).getOrCreate()
     if args.quiet:
         spark.sparkContext.setLogLevel("OFF")
-    engine = Engine(spark, tracing=bool(args.trace))
+    engine = Engine(spark, tracing=bool(args.trace or args.trace_predicate))
     try:
         engine.load_file(args.rules[0], dict(x.split("=", 1) for x in args.param))
         if args.import_dir:
@@ -68,8 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for pred in shown:
             for row in engine.rows(pred):
                 print(f"{pred}({', '.join(map(canonical, row))}) .")
-        for fact in args.trace:
-            found = engine.trace(fact)
+        derivations = [(fact, engine.trace(fact)) for fact in args.trace]
+        for fact, found in chain(derivations, (("", t) for t in engine.trace_predicates(args.trace_predicate))):
             text = f"{fact} was not derived" if found is None else found.ascii()
             if args.trace_output:
                 with open(args.trace_output, "a", encoding="utf-8") as f:

@@ -412,7 +412,28 @@ class Engine:
     def trace(self, fact: str | Atom):
         from .plans.trace import trace
 
-        return trace(self, parse_atom(fact, self.program) if isinstance(fact, str) else fact)
+        return trace(self, self._fact(fact))
+
+    def _fact(self, fact: str | Atom) -> Atom:
+        return parse_atom(fact, self.program) if isinstance(fact, str) else fact
+
+    def trace_predicates(self, preds: list[str]):
+        """Derivations of all facts of the predicates, one at a time."""
+        from .plans.trace import trace_predicates
+
+        return trace_predicates(self, preds)
+
+    def trace_tree(self, facts: list[str | Atom]):
+        """The shape that the derivations of several facts share; see plans.trace."""
+        from .plans.trace import trace_tree
+
+        return trace_tree(self, [self._fact(f) for f in facts])
+
+    def trace_node(self, shape) -> dict[tuple[int, ...], DataFrame]:
+        """What each node of a derivation's shape can hold, as tables."""
+        from .plans.trace import trace_node
+
+        return trace_node(self, shape)
 
 
 def evaluate(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, **options) -> dict[str, DataFrame]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoding import Col, equal, literal, python_value
@@ -12,6 +14,7 @@ from ..lang.ast import Atom, Not, Op, Rule, RuleError, Var, substitute, variable
 from ..lang.values import Value, canonical
 from . import compile as plan
 from .compile import Relation, name_of
+from .storage import materialised
 
 
 def atom_text(atom: Atom) -> str:
@@ -160,3 +163,94 @@ def ground(body: list, bound, row) -> list[Atom]:
             if not variables(atom) and all(isinstance(a, Value) for a in atom.args):
                 out.append(atom)
     return out
+
+
+def trace_predicates(engine, preds: list[str]) -> Iterator[Trace]:
+    """A derivation of every fact of the given predicates, one after the other."""
+    for pred in preds:
+        for row in engine.rows(pred):
+            found = trace(engine, Atom(pred, row))
+            if found is not None:
+                yield found
+
+
+@dataclass
+class Shape:
+    """How a table of facts is derived: the rule (None: given) and, for each positive atom of its body, how that is."""
+
+    pred: str
+    rule: Rule | None = None
+    children: list[Shape] = field(default_factory=list)
+    facts: list[Atom] = field(default_factory=list)
+
+    def to_dict(self) -> dict:
+        return {"predicate": self.pred, "rule": None if self.rule is None else self.rule.name or f"rule for {self.pred}", "facts": [atom_text(f) for f in self.facts], "children": [c.to_dict() for c in self.children]}
+
+
+def trace_tree(engine, facts: list[Atom]) -> Shape | None:
+    """The derivation that all given facts of one predicate share, as deep as they share it, with each node's facts in their order.
+
+    None where a fact doesn't hold. A node at which derivations part, or whose rule aggregates, ends its branch.
+    """
+    traces = [trace(engine, f) for f in facts]
+    return None if not facts or None in traces or len({f.pred for f in facts}) > 1 else shared_shape(traces)
+
+
+def shared_shape(traces: list[Trace]) -> Shape:
+    first = traces[0]
+    out = Shape(first.fact.pred, facts=[t.fact for t in traces])
+    whole = first.rule is not None and all(t.rule is first.rule for t in traces) and not any(plan.aggregate_of(a) for h in first.rule.head for a in h.args)
+    if whole and all([c.fact.pred for c in t.children] == [c.fact.pred for c in first.children] for t in traces):
+        out.rule = first.rule
+        out.children = [shared_shape(list(level)) for level in zip(*(t.children for t in traces))]
+    return out
+
+
+def trace_node(engine, shape: Shape) -> dict[tuple[int, ...], DataFrame]:
+    """All rows that a node can hold in a derivation of a shape, by the node's address (the root's is ()).
+
+    Upwards, each rule is applied to what its children can hold; downwards, children keep what their parent uses. Both
+    are joins of whole tables; nothing is collected. Columns are c0, c1, ... Pages are DataFrame.offset and limit.
+    """
+    made: dict[tuple[int, ...], DataFrame] = {}
+    matches: dict[tuple[int, ...], tuple] = {}
+
+    def up(node: Shape, at: tuple[int, ...]) -> Relation:
+        stored = engine.relations[node.pred]
+        if node.rule is None or not node.children:
+            made[at] = engine._known(stored).distinct()
+            return Relation(made[at], stored.kinds)
+        places = [i for i, x in enumerate(node.rule.body) if isinstance(x, Atom)]
+        below = {i: up(c, (*at, j)) for j, (i, c) in enumerate(zip(places, node.children))}
+        bound = plan.body(node.rule, lambda i, a: below[i], lambda a: engine._relation(a.pred))
+        head = next(h for h in node.rule.head if h.pred == node.pred)
+        rows = plan.project(head, bound, stored.kinds)[0].distinct()
+        # invented values can't be told from the body: of such a head, the rows that hold are kept
+        if any(v.kind == "!" for v in variables(head)):
+            rows = engine._known(stored).distinct()
+        made[at] = materialised(rows)
+        matches[at] = (head, bound, places)
+        return Relation(made[at], stored.kinds)
+
+    def down(node: Shape, at: tuple[int, ...]) -> None:
+        if at not in matches:
+            return
+        head, bound, places = matches[at]
+        stored = engine.relations[node.pred]
+        used = bound
+        if not any(v.kind == "!" for v in variables(head)):
+            cells = [plan.as_kind(plan.expression(t, bound.col), k).alias(f"h{i}") for i, (t, k) in enumerate(zip(head.args, stored.kinds))]
+            kept = made[at].select(*[F.col(f"c{i}").alias(f"h{i}") for i in range(len(stored.kinds))])
+            used = plan.Bound(bound.df.select("*", *cells).join(kept, [f"h{i}" for i in range(len(cells))], "left_semi"), bound.kinds)
+        for j, (i, child) in enumerate(zip(places, node.children)):
+            below = engine.relations[child.pred]
+            atom = node.rule.body[i]
+            known = {k: plan.as_kind(plan.expression(t, used.col), below.kinds[k]) for k, t in enumerate(atom.args) if not any(v.kind == "_" for v in variables(t))}
+            if known:
+                keys = used.df.select(*[c.alias(f"c{k}") for k, c in known.items()]).distinct()
+                made[(*at, j)] = materialised(made[(*at, j)].join(keys, [f"c{k}" for k in known], "left_semi"))
+            down(child, (*at, j))
+
+    up(shape, ())
+    down(shape, ())
+    return made

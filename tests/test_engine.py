@@ -136,6 +136,17 @@ def test_trace(spark):
     assert found.json() and found.graphml().count("<node") == 4
 
 
+def test_trace_of_tables(spark):
+    _, engine = run(spark, "road(1,2). road(2,3). road(2,4). road(7,8). road(8,9). way(?x,?y) :- road(?x,?y). far(?x,?z) :- way(?x,?y), road(?y,?z), ~shut(?y). shut(9).", tracing=True)
+    assert sorted(t.fact.args[1].value for t in engine.trace_predicates(["far"])) == [3, 4, 9]
+    shape = engine.trace_tree(["far(1,3)", "far(7,9)"])
+    assert [c.pred for c in shape.children] == ["way", "road"] and [c.pred for c in shape.children[0].children] == ["road"]
+    assert shape.to_dict()["children"][1]["facts"] == ["road(2, 3)", "road(8, 9)"]
+    assert engine.trace_tree(["far(1,3)", "far(1,9)"]) is None
+    tables = {at: {tuple(r) for r in df.collect()} for at, df in engine.trace_node(shape).items()}
+    assert tables[()] == {(1, 3), (1, 4), (7, 9)} and tables[(0,)] == tables[(0, 0)] == {(1, 2), (7, 8)} and tables[(1,)] == {(2, 3), (2, 4), (8, 9)}
+
+
 def test_trace_of_an_aggregate_is_whole(spark):
     facts = " ".join(f"a({1 + (i > 25)}, {i})." for i in range(1, 31))
     _, engine = run(spark, facts + " c(?g, #count(?x)) :- a(?g, ?x). d(?g + 1, #sum(?x)) :- a(?g, ?x).", tracing=True)

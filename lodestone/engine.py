@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 
 from .analysis import checks
 from .functions.encoding import ANY, Col, adopt, as_kind, canonical_text, join_kinds, python_value, raw_value, schema, to_any
-from .lang.ast import Atom, Not, Program, Rule, RuleError, Var, substitute, variables
+from .lang.ast import Atom, Import, Not, Op, Program, Rule, RuleError, Var, substitute, variables
 from .lang.parser import parse, parse_atom
 from .lang.values import Value, canonical
 from .plans import compile as plan
 from .plans.compile import Bound, Relation, name_of
 from .plans.storage import materialised
-from .sources import load
+from .sources import load, parameters, sparql
 
 COMPACT = 8  # deltas of a relation that are kept apart before they are written as one
 LARGE = 4  # a relation of more rows than so many broadcasts isn't shuffled to find out what is new among few rows
@@ -82,8 +83,9 @@ class Engine:
         wanted = outputs or checks.outputs(self.program)
         program = checks.needed(self.program, wanted)
         self.relations, self.step, self.timings = {}, 0, []
-        self._inputs(program)
         groups = checks.strata(program)
+        self.remote = self._bindable(program, groups, wanted)
+        self._inputs(program)
         self._kinds(program, groups)
         self.uses: dict[str, int] = {}
         for r in program.rules:
@@ -122,6 +124,10 @@ class Engine:
             data = [tuple(raw_value(v, k) for v, k in zip(row, kinds)) for row in rows]
             parts.setdefault(pred, []).append((self.spark.createDataFrame(data, schema(kinds)), kinds, False))
         for spec in program.imports:
+            if spec.pred in self.remote:
+                kinds = [ANY] * arity[spec.pred]
+                parts.setdefault(spec.pred, []).append((self.spark.createDataFrame([], schema(kinds)), kinds, False))
+                continue
             rows, kinds = load(self.spark, spec, self.base_dir, arity.get(spec.pred))
             arity.setdefault(spec.pred, len(kinds))
             if arity[spec.pred] != len(kinds):
@@ -135,6 +141,49 @@ class Engine:
             whole = reduce(DataFrame.union, frames)
             self.relations[pred] = Stored(kinds, whole, any(n for *_, n in found), [(0, whole)])
 
+    def _bindable(self, program: Program, groups: list[list[Rule]], wanted: list[str]) -> dict[str, Import]:
+        """Remote imports of which each rule that reads them needs only what joins with the rest of its body."""
+        found = {s.pred: s for s in program.imports if s.format == "sparql"}
+        for pred in wanted + [f.pred for f in program.facts] + checks.derived(program) + list(self.foreign):
+            found.pop(pred, None)
+        for pred in [p for p, n in Counter(s.pred for s in program.imports).items() if n > 1]:
+            found.pop(pred, None)
+        for group in groups:
+            heads = {h.pred for r in group for h in r.head}
+            for rule in group:
+                recursive = any(isinstance(x, Atom) and x.pred in heads for x in rule.body)
+                creative = any(v.kind == "!" for h in rule.head for v in variables(h))
+                for i, x in enumerate(rule.body):
+                    atom = x.atom if isinstance(x, Not) else x
+                    if not isinstance(atom, Atom) or atom.pred not in found:
+                        continue
+                    names = sparql.selected(sparql.endpoint_and_query(parameters(found[atom.pred]))[1])
+                    if isinstance(x, Not) or recursive or creative or len(names or []) != len(atom.args) or not self._shared(rule, i, found):
+                        found.pop(atom.pred)
+        return found
+
+    @staticmethod
+    def _shared(rule: Rule, at: int, remote) -> list[int]:
+        """The places of a body atom whose variables other atoms bind that aren't remote themselves."""
+        others = {v for i, x in enumerate(rule.body) if i != at and isinstance(x, Atom) and x.pred not in remote for v in variables(x) if v.kind == "?"}
+        return [k for k, t in enumerate(rule.body[at].args) if isinstance(t, Var) and t in others]
+
+    def _fetched(self, rule: Rule) -> dict[int, Relation]:
+        """For each remote atom of a rule, the rows that join with the rest of its body."""
+        out = {}
+        for at, x in enumerate(rule.body):
+            if isinstance(x, Atom) and x.pred in self.remote:
+                places = self._shared(rule, at, self.remote)
+                rest = [y for y in rule.body if isinstance(y, Atom) and y.pred not in self.remote]
+                known = {v for y in rest for v in variables(y)}
+                bound = plan.body(Rule([], rest + [o for o in rule.body if isinstance(o, Op) and set(variables(o)) <= known]), lambda i, a: self._relation(a.pred), lambda a: self._relation(a.pred))
+                params = parameters(self.remote[x.pred])
+                names = sparql.selected(sparql.endpoint_and_query(params)[1])
+                keys = bound.df.select(*[to_any(bound.col(x.args[k])).alias(f"k{k}") for k in places])
+                rows, kinds = sparql.read(self.spark, params, len(x.args), ([names[k] for k in places], keys))
+                out[at] = Relation(rows, kinds)
+        return out
+
     def _fit(self, df: DataFrame, own: list[str], kinds: list[str]) -> DataFrame:
         if own == kinds:
             return df
@@ -207,7 +256,10 @@ class Engine:
 
     def _heads(self, rule: Rule, first: int | None = None, relation=None) -> list[tuple[str, DataFrame]]:
         """The rows that one application of a rule derives, by predicate."""
-        bound = plan.body(rule, relation or (lambda i, a: self._relation(a.pred)), lambda a: self._relation(a.pred), first)
+        if relation is None:
+            fetched = self._fetched(rule)
+            relation = lambda i, a: fetched.get(i) or self._relation(a.pred)
+        bound = plan.body(rule, relation, lambda a: self._relation(a.pred), first)
         if any(plan.aggregate_of(t) for h in rule.head for t in h.args):
             rule, bound = plan.aggregate(rule, bound)
         return [(h.pred, plan.project(h, bound, self.relations[h.pred].kinds)[0]) for h in rule.head]

@@ -1,4 +1,8 @@
 import gzip
+import http.server
+import re
+import threading
+import urllib.parse
 
 import pytest
 
@@ -88,13 +92,42 @@ def test_export_round_trip_and_cli(spark, tmp_path, capsys):
     assert main([str(tmp_path / "missing.rls")], spark) == 1
 
 
-def test_sparql_bindings(spark):
+def test_sparql(spark, tmp_path):
+    """A server of one fixed table that keeps what it was asked."""
+    table = [(f"http://e/{i}", i * i) for i in range(50)]
     asked = []
 
-    def send(endpoint, query):
-        asked.append(query)
-        return '?a\t?b\n<http://x>\t5\n"q"@en\t"z"\n'
-
-    params = {"endpoint": Value("s", "http://e"), "query": Value("s", "SELECT ?a ?b WHERE { ?a ?p ?b }")}
-    df, kinds = sparql.read(spark, params, 2, (["a"], [(Value("i", f"http://{i}"),) for i in range(40_000)]), send)
-    assert len(asked) == 2 and "VALUES (?a)" in asked[0] and df.count() == 4
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.answer(urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)["query"][0])
+
+        def do_POST(self):
+            self.answer(urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0])
+
+        def answer(self, query):
+            asked.append(query)
+            given = set(re.findall(r"\(<([^>]*)>\)", query))
+            rows = [f"<{a}>\t{b}" for a, b in table if not given or a in given]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write("\n".join(["?a\t?b", *rows, ""]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spec = f'@import t :- sparql{{endpoint="http://127.0.0.1:{server.server_port}/q", query="SELECT ?a ?b WHERE {{ ?a <http://e/p> ?b }}"}} . '
+    try:
+        assert len(run(spark, tmp_path, spec + "r(?a, ?b) :- t(?a, ?b). @output r.")["r"]) == 50 and len(asked) == 1 and "VALUES" not in asked[0]
+        asked.clear()
+        got = run(spark, tmp_path, spec + "wish(<http://e/3>). wish(<http://e/7>). wish(<http://e/x>). r(?a, ?b) :- wish(?a), t(?a, ?b). @output r.")["r"]
+        assert got == [("<http://e/3>", 9), ("<http://e/7>", 49)] and len(asked) == 1 and "VALUES (?a)" in asked[0] and asked[0].count("<http://e/") == 4
+    finally:
+        server.shutdown()
+
+
+def test_pages_of_bindings():
+    blocks = list(sparql.pages(((Value("i", f"http://{i}"),) for i in range(40_000)), ["a"]))
+    assert len(blocks) == 2 and all(b.startswith("VALUES (?a) {") and len(b) < 750_000 for b in blocks) and sum(b.count("(<") for b in blocks) == 40_000
+    assert sparql.selected("PREFIX e: <x> select distinct ?a ?bc { ?a ?p ?bc }") == ["a", "bc"] and sparql.selected("SELECT * WHERE {}") is None

@@ -223,17 +223,35 @@ def cut(after: bool):
     return build
 
 
+CLUSTER = r"\X"
+
+
+def has_clusters(c: Column) -> Column:
+    """Whether a text may hold signs of several code points; ASCII texts have none but line ends of two."""
+    return c.rlike(r"[^\x00-\x7F]|\r\n")
+
+
+def clusters(c: Column) -> Column:
+    """The signs of a text as readers see them: grapheme clusters."""
+    return F.regexp_extract_all(c, F.lit(CLUSTER), F.lit(0))
+
+
+def part_of(c: Column, first: Column, size: Column) -> Column:
+    """size signs from the first-th on."""
+    return F.when(has_clusters(c), F.array_join(F.slice(clusters(c), first.cast("int"), size.cast("int")), "")).otherwise(F.substring(c, first.cast("int"), size.cast("int")))
+
+
 def substring(a: Col, start: Col, length: Col | None = None) -> Col | None:
     if a.k not in TEXT or start.k not in NUMERIC or length is not None and length.k not in NUMERIC:
         return None
     text, begin = text_of(a), start.c.cast("bigint") if start.k == "n" else half_away(start.c.cast("double")).cast("bigint")
     first = F.greatest(begin, F.lit(1).cast("bigint"))
     if length is None:
-        part = F.substring(text, first.cast("int"), F.lit(1 << 30))
+        part = part_of(text, first, F.lit(1 << 30))
         return tagged(F.when(begin.isNotNull(), F.when(first > F.length(text), "").otherwise(part)), a)
     size = length.c.cast("bigint") if length.k == "n" else half_away(length.c.cast("double")).cast("bigint")
     end = begin + size
-    part = F.when(end <= first, "").otherwise(F.substring(text, first.cast("int"), F.least(end - first, F.lit(1 << 30)).cast("int")))
+    part = F.when(end <= first, "").otherwise(part_of(text, first, F.least(end - first, F.lit(1 << 30))))
     return tagged(F.when(begin.isNotNull() & size.isNotNull(), part), a)
 
 
@@ -381,8 +399,8 @@ BUILDERS: dict[str, Callable[..., Col | None]] = {
     "SUBSTR": substring,
     "REGEX": regex,
     "LEVENSHTEIN": on_texts(lambda x, y: F.levenshtein(x, y).cast("bigint"), "n"),
-    "STRLEN": of_text(lambda c: F.length(F.regexp_replace(c, r"\p{M}", "")).cast("bigint"), "n"),
-    "STRREV": of_text(F.reverse),
+    "STRLEN": of_text(lambda c: F.when(has_clusters(c), F.regexp_count(c, F.lit(CLUSTER))).otherwise(F.length(c)).cast("bigint"), "n"),
+    "STRREV": of_text(lambda c: F.when(has_clusters(c), F.array_join(F.reverse(clusters(c)), "")).otherwise(F.reverse(c))),
     "UCASE": of_text(F.upper),
     "LCASE": of_text(F.lower),
     "URIENCODE": of_text(uri_encode, "s"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .exchange import rows_of
 from .session import prepare, shuffle_partitions
 
-PIVOTS, PREFIX = 256, 128
+PIVOTS, PREFIX = 256, 32
 POOL = 8  # distinct vectors looked at for each pivot
 BOUNDS = 32  # a query's nearest pivots whose distances bound those of rows that aren't reranked
 SHARE, LEAST = 0.15, 100  # of a block's rows, by footrule, those that are reranked; and how many at least
@@ -140,23 +140,31 @@ def nearest_of_one_dimension(own: DataFrame, n_rows: int, k: int, n_pivots: int,
                 by_axis = np.ascontiguousarray(x.T)
                 index = Postings(pivot_orders(x, pivots, prefix), len(pivots))
                 away, slack = pivot_distances(x, pivots)
+                away, squares = np.ascontiguousarray(away.T), (x * x).sum(1)
             most = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))))
             asked, y = unpack(payload)
             out = []
             for query, vector, own_order, own_away, own_slack in zip(asked.tolist(), y, pivot_orders(y, pivots, prefix), *pivot_distances(y, pivots)):
+                own_square = float(vector @ vector)
+                error = 1e-12 * (float(squares.max()) + own_square)  # more than rounding moves a square found by a product
+
+                def measured(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    """Those of which that may be among the k nearest, and their exact distances."""
+                    which = which[ids[which] != query]
+                    rough = squares[which] + own_square - 2 * (x[which] @ vector)
+                    if len(which) > k:
+                        which = which[rough <= np.partition(rough, k - 1)[k - 1] + 2 * error]
+                    return which, distances(by_axis[:, which], vector)
+
                 close = index.closeness(own_order)
-                near = np.argsort(-close, kind="stable")[:most]
-                score = distances(by_axis[:, near], vector)
-                other = ids[near] != query
-                near, score = near[other], score[other]
-                best = np.lexsort((ids[near], score))[:k]
-                rest = np.ones(len(ids), bool)
-                rest[near] = False
-                rest = np.flatnonzero(rest & (ids != query))
-                if len(best) == k:
-                    for pivot in own_order[:BOUNDS].tolist():
-                        rest = rest[~(np.abs(away[rest, pivot] - own_away[pivot]) > score[best[-1]] + slack[rest] + own_slack)]
-                near, score = np.append(near, rest), np.append(score, distances(by_axis[:, rest], vector))
+                near, score = measured(np.argpartition(-close, most - 1)[:most])
+                if len(near) >= k:
+                    bound = np.abs(away[own_order[:BOUNDS]] - own_away[own_order[:BOUNDS], None]).max(0)
+                    rest = bound <= np.partition(score, k - 1)[k - 1] + slack + own_slack
+                else:
+                    rest = np.ones(len(ids), bool)
+                rest[near] = True
+                near, score = measured(np.flatnonzero(rest))
                 best = np.lexsort((ids[near], score))[:k]
                 out.append((np.full(len(best), query), ids[near[best]], score[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])

@@ -6,7 +6,10 @@ import gzip
 import io
 import os
 import re
-from collections.abc import Iterable, Iterator
+import shutil
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +64,8 @@ def resource_path(params: dict, base_dir: str) -> str:
     if not path:
         raise RuleError("an import needs a resource", 220)
     path = str(path)
+    if path == "stdin":
+        return shared(lambda out: shutil.copyfileobj(sys.stdin.buffer, out), "stdin")
     if path.startswith("file:"):
         path = re.sub(r"^file:(//)?", "", path)
     if re.match(r"https?://", path):
@@ -135,8 +140,7 @@ def pairs(value) -> list[tuple[str, str]]:
 
 
 def fetched(url: str, params: dict) -> str:
-    """A web resource, brought to a local file on the driver with the given headers and parameters."""
-    import tempfile
+    """A web resource, got with the given headers and parameters."""
     import urllib.parse
     import urllib.request
 
@@ -144,9 +148,29 @@ def fetched(url: str, params: dict) -> str:
     if query:
         url += ("&" if "?" in url else "?") + urllib.parse.urlencode(query)
     request = urllib.request.Request(url, data=urllib.parse.urlencode(post).encode() if post else None, headers=dict(pairs(params.get("http_headers"))))
-    with urllib.request.urlopen(request, timeout=60) as got, tempfile.NamedTemporaryFile(delete=False, suffix=os.path.basename(urllib.parse.urlparse(url).path)) as out:
-        out.write(got.read())
-        return out.name
+
+    def bring(out: BinaryIO) -> None:
+        with urllib.request.urlopen(request, timeout=60) as got:
+            shutil.copyfileobj(got, out)
+
+    return shared(bring, os.path.basename(urllib.parse.urlparse(url).path) or "resource")
+
+
+def shared(fill: Callable[[BinaryIO], None], name: str) -> str:
+    """A file in the shared folder, where executors can read it, with what fill writes."""
+    import tempfile
+    import uuid
+
+    from ..plans.storage import shared_folder
+
+    spark = SparkSession.getActiveSession()
+    target = f"{shared_folder(spark)}/got-{uuid.uuid4().hex}/{name}"
+    with tempfile.NamedTemporaryFile() as out:
+        fill(out)
+        out.flush()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        path(target).getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{out.name}"), path(target))
+    return target
 
 
 def load(spark: SparkSession, spec: Import, base_dir: str, arity: int | None) -> tuple[DataFrame, list[str]]:

@@ -1,5 +1,7 @@
+import functools
 import gzip
 import http.server
+import io
 import re
 import threading
 import urllib.parse
@@ -127,6 +129,21 @@ def test_sparql(spark, tmp_path):
         server.shutdown()
 
 
+def test_web_and_standard_input(spark, tmp_path, monkeypatch):
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site" / "a.csv").write_text("1,x\n2,y\n")
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path / "site"))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        got = run(spark, tmp_path, f'@import a :- csv{{resource="http://127.0.0.1:{server.server_port}/a.csv",format=(int,string)}}. r(?x) :- a(?x,_).')
+        assert got["r"] == [(1,), (2,)]
+    finally:
+        server.shutdown()
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"7,z\n8,w\n")))
+    assert run(spark, tmp_path, '@import a :- csv{resource="stdin",format=(int,string)}. r(?x) :- a(?x,_).')["r"] == [(7,), (8,)]
+
+
 def test_pages_of_bindings():
     blocks = list(sparql.pages(((Value("i", f"http://{i}"),) for i in range(40_000)), ["a"]))
     assert len(blocks) == 2 and all(b.startswith("VALUES (?a) {") and len(b) < 750_000 for b in blocks) and sum(b.count("(<") for b in blocks) == 40_000

@@ -43,10 +43,11 @@ class Engine:
 
     broadcast_rows bounds what recursion broadcasts: a step's new rows are counted, and joined by broadcast only up to
     that many. max_steps stops existential recursion that doesn't end. With tracing, what each step added is kept.
+    With skolem, an existential variable stands for a function of the frontier, whether or not the head holds already.
     """
 
-    def __init__(self, spark: SparkSession, base_dir: str = ".", max_steps: int = 10_000, broadcast_rows: int = 20_000, tracing: bool = False):
-        self.spark, self.base_dir, self.max_steps, self.broadcast_rows, self.tracing = spark, base_dir, max_steps, broadcast_rows, tracing
+    def __init__(self, spark: SparkSession, base_dir: str = ".", max_steps: int = 10_000, broadcast_rows: int = 20_000, tracing: bool = False, skolem: bool = False):
+        self.spark, self.base_dir, self.max_steps, self.broadcast_rows, self.tracing, self.skolem = spark, base_dir, max_steps, broadcast_rows, tracing, skolem
         self.foreign: dict[str, DataFrame] = {}
         self.relations: dict[str, Stored] = {}
         self.program: Program | None = None
@@ -397,7 +398,7 @@ class Engine:
         fresh_ops = [v for v in frontier if any(v in variables(h) for h in invents)]
         simple = all(isinstance(t, (Var, Value)) for h in invents for t in h.args)
         todo = matches
-        if simple:
+        if simple and not self.skolem:
             satisfied = plan.body(pattern, lambda i, a: self._relation(a.pred), lambda a: self._relation(a.pred))
             seen = Bound(satisfied.df.select(*[name_of(v) for v in fresh_ops], F.lit(1).alias("two_")).distinct().drop("two_") if fresh_ops else satisfied.df, {v: satisfied.kinds[v] for v in fresh_ops})
             inventing = Bound(matches.df.select(*[name_of(v) for v in fresh_ops], "one_").distinct(), {v: matches.kinds[v] for v in fresh_ops})

@@ -77,6 +77,8 @@ def test_chase(spark):
     owns = "owns(pip, pip). owns(ada, key). owns(key, lock). "
     got, _ = run(spark, owns + "safe(?x, ?x) :- owns(?x, ?x). safe(?x, !box) :- owns(?x, _).")
     assert sorted(nulls(got["safe"])) == [("ada", "n0"), ("key", "n1"), ("pip", "pip")]
+    got, _ = run(spark, owns + "safe(?x, ?x) :- owns(?x, ?x). safe(?x, !box) :- owns(?x, _).", skolem=True)
+    assert sorted(nulls(got["safe"])) == [("ada", "n0"), ("key", "n1"), ("pip", "n2"), ("pip", "pip")]
     got, _ = run(spark, owns + "in(?x, !b), of(!b, ?y), thing(?y) :- owns(?x, ?y). twin(!t, !t) :- owns(?x, ?y).")
     assert len(got["in"]) == 3 and {x[1] for x in got["in"]} == {x[0] for x in got["of"]} and len(got["thing"]) == 3
     assert len(got["twin"]) == 1 and got["twin"][0][0] == got["twin"][0][1]

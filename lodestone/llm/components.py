@@ -5,36 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import Table
+from .session import settled
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node of its component.
 
     Each round hooks larger neighbours, then smaller ones, onto the least known node, so a component of
-    diameter d shrinks in O(log d) rounds. Steps are written as tables to the shared folder and dropped as soon as
-    the next one is there: their true sizes plan the next step (estimates carried from step to step would square
-    each time), and joins read both sides through exchanges, which split where one node has very many neighbours.
-    Only two numbers a round reach the driver. Self-loops and repeated edges are harmless; an empty edge list gives
-    no node.
+    diameter d shrinks in O(log d) rounds. Least nodes are joined under a key that Spark doesn't take for the one they
+    were grouped by, so that both sides of the join have exchanges, which split where one node has very many neighbours.
+    Lineage is cut with checkpoint(), and only two numbers a round reach the driver. Self-loops and repeated edges are
+    harmless; an empty edge list gives no node.
     """
-    now = Table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = Table(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
-        large = Table(both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least.drop()
-        least = Table(large.df.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.df.join(least.df, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.*")
-        now.drop()
-        now = Table(small.where("u <> v").distinct())
-        large.drop()
-        least.drop()
-        state = now.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("w"), "m")
+        large = settled(both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("w"), "m")
+        small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.*")
+        now = settled(small.where("u <> v").distinct())
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if before == tuple(state):
             break
         before = tuple(state)
     else:
         raise RuntimeError("components did not settle")
-    return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

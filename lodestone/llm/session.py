@@ -28,17 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return prepare(spark).sparkContext.getCheckpointDir()
 
 
-class Table:
-    """A DataFrame written to the shared folder, as df; drop() takes it away again."""
-
-    def __init__(self, df: DataFrame):
-        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def settled(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), planned from then on without the size estimates that led to it: those multiply at every join, and square each time in a loop."""
+    done, session = df.checkpoint(), df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), session)
 
 
 def free(name: str, columns: list[str]) -> str:

@@ -17,6 +17,9 @@ from .compile import Relation, name_of
 from .storage import materialised
 
 
+UNNAMED = "__unnamed_"
+
+
 def atom_text(atom: Atom) -> str:
     return f"{atom.pred}({', '.join(canonical(a) if isinstance(a, Value) else str(a) for a in atom.args)})"
 
@@ -130,7 +133,8 @@ def premises(engine, rule: Rule, head: Atom, known: dict[Var, Value], fact: Atom
             out = out.union(df)
         return Relation(out, s.kinds, s.nullable)
 
-    plain = [x for x in rule.body]
+    # what has no name gets one here, so that premises are whole facts
+    plain = [Atom(x.pred, tuple(Var(f"{UNNAMED}{i}_{k}", "?") if isinstance(t, Var) and t.kind == "_" else t for k, t in enumerate(x.args))) if isinstance(x, Atom) else x for i, x in enumerate(rule.body)]
     if any(plan.aggregate_of(t) for t in head.args):
         groups = {v: known[v] for v in known}
         body = [substitute(x, groups) for x in plain]
@@ -151,7 +155,7 @@ def premises(engine, rule: Rule, head: Atom, known: dict[Var, Value], fact: Atom
     if not rows:
         return None
     values = {v: python_value(rows[0][name_of(v)], k) for v, k in bound.kinds.items()}
-    return {v.name: x for v, x in {**known, **values}.items()}, ground(body, bound, rows[0])
+    return {v.name: x for v, x in {**known, **values}.items() if not v.name.startswith(UNNAMED)}, ground(body, bound, rows[0])
 
 
 def ground(body: list, bound, row) -> list[Atom]:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import operators
 from .engine import Engine
+from .lang.ast import RuleError
 from .plans.storage import shared_folder
+from .plans.trace import Shape
 
 #: The columns that stand for a predicate's arguments, in order.
 TABLES = {
@@ -238,10 +242,95 @@ def parquet_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.relation("r", ["n", "k"])
 
 
+def operator_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relational operators on plain DataFrames: orders of customers without an urgent one, summed by customer."""
+    orders = operators.rename(operators.fetch_table(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]), {"o_custkey": "c"})
+    urgent = operators.project_reorder(operators.filter_rows(orders, F.col("o_orderpriority") == "1-URGENT"), ["c"])
+    priced = operators.function(operators.subtract(orders, urgent), {"thousands": F.floor(F.col("o_totalprice") / 1000)})
+    return operators.aggregate(priced, ["c"], "sum", "thousands", ["o_orderkey"], "t")
+
+
+def operator_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One witness a group: which one is open, so its group and whether it belongs there are given."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    one = operators.single(nations, ["n_regionkey"]).select("n_regionkey", "n_nationkey")
+    return operators.join(one, nations).groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).select(F.col("n_regionkey").alias("g"), "n")
+
+
+def operator_incremental_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only those customers that suppliers in debt share a nation with."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("k"))
+    debts = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal < 0").select(F.col("s_nationkey").alias("k"), "s_suppkey")
+    return operators.incremental_import(customers, debts).select(F.col("c_custkey").alias("c"))
+
+
+def operator_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one empty row, beside every region."""
+    return operators.zero(spark).crossJoin(spark.read.parquet(f"{sf_dir}/region.parquet")).select(F.col("r_name").alias("n"))
+
+
+def trace_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each node of a two-edge derivation can hold: the path, its first edge and its second."""
+    engine = Engine(spark, tracing=True).register("lineitem", spark.read.parquet(f"{sf_dir}/lineitem.parquet"), TABLES["lineitem"])
+    engine.run(EDGES + " two(?x, ?z) :- edge(?x, ?y), edge(?y, ?z) .", outputs=["two"])
+    shape = Shape("two", next(r for r in engine.program.rules if r.head[0].pred == "two"), [Shape("edge"), Shape("edge")])
+    tables = [df.select(F.lit(".".join(map(str, at)) or "root").alias("node"), F.col("c0").alias("x"), F.col("c1").alias("y")) for at, df in engine.trace_node(shape).items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def trace_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivations of every nation's region, found one by one: the fact, and the premises used."""
+    engine = Engine(spark, tracing=True)
+    for name in ("nation", "region"):
+        engine.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLES[name])
+    engine.run("lies(?n, ?m) :- region(?g, ?m), nation(_, ?n, ?g), ?g = 1 . in(?n) :- lies(?n, _) .", outputs=["in"])
+    rows = [(t.fact.args[0].value, t.children[0].fact.args[1].value, t.size()) for t in engine.trace_predicates(["in"])]
+    return spark.createDataFrame(rows, "n string, m string, size long")
+
+
+#: Invalid programs and the codes they are refused with.
+REFUSED = {
+    "p(?x) :- q(?x, !y) .": 201, "p(?y) :- q(?x) .": 202, "p(_) :- q(?x) .": 203, "p(?x) :- q(?x), ?y < 3 .": 204, "p(?x) :- q(?x), ~r(?y), ~s(?y) .": 205, "p(?x, !x) :- q(?x) .": 207, "p(?x) .": 208,
+    "__p(?x) :- q(?x) .": 211, 'p(?x, #sum("a")) :- q(?x) .': 212, "p(?x, #sum(?x)) :- q(?x) .": 214, "p(ABS(?x, ?x)) :- q(?x) .": 217, "p(?x) :- q(?x), q(?x, ?x) .": 219, "@import p :- csv{} . r(?x) :- p(?x) .": 220,
+    '@import p :- csv{resource="a", oops=1} . r(?x) :- p(?x) .': 221, '@import p :- csv{resource="a", limit="x"} . r(?x) :- p(?x) .': 222, '@import p :- csv{resource="a", format=(odd)} . r(?x) :- p(?x) .': 223, '@import p :- csv{resource="a", limit=-1} . r(?x) :- p(?x) .': 224,
+    '@import p :- dsv{resource="a", delimiter="ab"} . r(?x) :- p(?x) .': 225, '@import p :- csv{resource="a", compression=zip} . r(?x) :- p(?x) .': 226, '@import p :- rdf{resource="a"} . r(?x, ?y, ?z) :- p(?x, ?y, ?z) .': 229, '@import p :- rdf{resource="a.b"} . r(?x, ?y, ?z) :- p(?x, ?y, ?z) .': 230,
+    '@import p :- odd{resource="a"} . r(?x) :- p(?x) .': 231, "@parameter $a = $b . @parameter $b = $a . p($a) .": 240, "p($a) .": 241, "p(?x) :- ~q(?x), ?x = 1 .": 994, "@export p :- json{} . p(1) .": 995, "p((1, 2)) .": 996, "p(!v, #sum(?y)) :- q(?y) .": 998, "p(?x, #sum(?y), #sum(?z)) :- q(?x, ?y, ?z) .": 999,
+}
+
+
+def refused_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code with which each invalid program is refused."""
+    rows = []
+    for text in REFUSED:
+        try:
+            Engine(spark, shared_folder(spark)).run(text)
+            rows.append((text, None))
+        except RuleError as e:
+            rows.append((text, e.code))
+    return spark.createDataFrame(rows, "program string, code long")
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 #: queries with no rule program over registered tables, and their SQL
 FILES = {
     **{name: (t, t.sql) for name, t in ROUND_TRIPS.items()},
     "json_import": (json_import, "SELECT n_name AS n, CAST(n_nationkey AS BIGINT) AS k FROM nation"),
+    "operator_chain": (
+        operator_chain,
+        "SELECT o_custkey AS c, CAST(sum(t) AS BIGINT) AS t FROM (SELECT DISTINCT o_custkey, o_orderkey, floor(o_totalprice / 1000) AS t FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) GROUP BY 1",
+    ),
+    "operator_single": (operator_single, "SELECT DISTINCT n_regionkey AS g, CAST(1 AS BIGINT) AS n FROM nation"),
+    "operator_incremental_import": (operator_incremental_import, "SELECT c_custkey AS c FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)"),
+    "operator_zero": (operator_zero, "SELECT r_name AS n FROM region"),
+    "trace_tables": (
+        trace_tables,
+        f"WITH {EDGES_SQL}, steps AS (SELECT a.x AS x, a.y AS y, b.y AS z FROM edge a JOIN edge b ON a.y = b.x) SELECT DISTINCT 'root' AS node, x, z AS y FROM steps UNION ALL SELECT DISTINCT '0', x, y FROM steps UNION ALL SELECT DISTINCT '1', y, z FROM steps",
+    ),
+    "trace_facts": (trace_facts, "SELECT DISTINCT n_name AS n, r_name AS m, CAST(4 AS BIGINT) AS size FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = 1"),
+    "refused_programs": (refused_programs, "SELECT * FROM (VALUES " + ", ".join(f"({quoted(t)}, CAST({c} AS BIGINT))" for t, c in REFUSED.items()) + ") v(program, code)"),
     "parquet_import": (parquet_import, "SELECT r_name AS n, CAST(r_regionkey AS BIGINT) AS k FROM region"),
 }
 HEADLINE = ("flagship_customer_spend", "join_aggregate_three_way", "aggregate_sum_told_apart", "self_join", "except_negation", "transitive_closure", "existential_restricted", "strings")

@@ -138,6 +138,12 @@ def test_trace(spark):
     assert found.json() and found.graphml().count("<node") == 4
 
 
+def test_trace_names_what_has_no_name(spark):
+    _, engine = run(spark, "pair(1,2). pair(3,4). left(?x) :- pair(?x,_). top(?x) :- left(?x), pair(?x,_).", tracing=True)
+    found = engine.trace("top(3)")
+    assert [str(c.fact.args[-1].value) for c in found.children] == ["3", "4"] and found.size() == 4 and list(found.assignment) == ["x"]
+
+
 def test_trace_of_tables(spark):
     _, engine = run(spark, "road(1,2). road(2,3). road(2,4). road(7,8). road(8,9). way(?x,?y) :- road(?x,?y). far(?x,?z) :- way(?x,?y), road(?y,?z), ~shut(?y). shut(9).", tracing=True)
     assert sorted(t.fact.args[1].value for t in engine.trace_predicates(["far"])) == [3, 4, 9]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .arrays import SPACED, U64, bounded, buffers, mix, numbered, owner, shingle_sets, spread, words
 from .components import components
-from .session import located, prepare, shuffle_partitions
+from .session import kept, located, prepare, shuffle_partitions
 
 SLOTS, ROWS = 160, 5  # 32 bands of 5: a pair at similarity 0.8 shares no band with probability below 4e-6
 MAX_ROUNDS = 6
@@ -241,25 +241,25 @@ def linked(docs: DataFrame, shingle: int, percent: int, slots: int, rows: int, t
         .checkpoint()
     )
     some = signed.where("n > 0" if null_ids else "n > 0 and id is not null")
-    classes = some.groupBy("a", "b", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b", "n", "rep").checkpoint()  # so that the join has exchanges of its own, which split where one set is very common
-    copies = some.select("a", "b", "n", "row").join(classes, ["a", "b", "n"]).where("row <> rep").select("row", "rep").checkpoint()
+    classes = kept(some.groupBy("a", "b", "n").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "b", "n", "rep"))  # so that the join has exchanges of its own, which split where one set is very common
+    copies = kept(some.select("a", "b", "n", "row").join(classes, ["a", "b", "n"]).where("row <> rep").select("row", "rep"))
 
     entries = some.select(F.explode("bands").alias("key"), "row", "a")
     busy = entries.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("key")
-    placed = entries.select("key", "row").join(busy, "key").join(copies.select("row"), "row", "left_anti").select("key", "row").checkpoint()
-    lead = placed.groupBy("key").agg(F.min("row").alias("lead")).checkpoint()
+    placed = kept(entries.select("key", "row").join(busy, "key").join(copies.select("row"), "row", "left_anti").select("key", "row"))
+    lead = kept(placed.groupBy("key").agg(F.min("row").alias("lead")))
     clusters = components(placed.join(lead, "key").select(F.col("row").alias("u"), F.col("lead").alias("v"))).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-    roster = some.select("row", "file", "at", "n").join(clusters, "row").checkpoint()
+    roster = kept(some.select("row", "file", "at", "n").join(clusters, "row"))
     sizes = roster.groupBy("cluster").agg(((F.count(F.lit(1)) > tile) | (F.sum("n") > tile_shingles)).alias("large"))
-    texts = docs.select("file", "at", "text").mapInArrow(pack, "file long, at long, z binary").join(roster.join(sizes, "cluster"), ["file", "at"]).select("row", "cluster", "n", "large", "z").checkpoint()
+    texts = kept(docs.select("file", "at", "text").mapInArrow(pack, "file long, at long, z binary").join(roster.join(sizes, "cluster"), ["file", "at"]).select("row", "cluster", "n", "large", "z"))
     together = texts.where("not large").select("cluster", "row", "z").repartition(n_parts, "cluster").sortWithinPartitions("cluster")
     labels = together.mapInArrow(lambda b: settle(b, shingle, percent), "row long, root long")
     large = texts.where("large").drop("large")
     if large.take(1):
         labels = labels.unionByName(large_links(large, placed, shingle, percent, tile, tile_shingles))
-    labels = labels.checkpoint()
+    labels = kept(labels)
     of_copies = copies.join(labels.withColumnRenamed("row", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("root"))
-    return signed.drop("a", "b", "bands"), labels.where("row <> root").unionByName(of_copies).checkpoint()
+    return signed.drop("a", "b", "bands"), kept(labels.where("row <> root").unionByName(of_copies))
 
 
 def distinct_rows(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text", slots: int = SLOTS, rows: int = ROWS, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     own = placed.select(F.col(file).alias("file"), F.col(at).alias("at"), "id", "text")
     signed, labels = linked(own, shingle, percent, slots, rows, tile, tile_shingles, False)
     ids = signed.select("row", "id", "n")
-    both = labels.unionByName(labels.select(F.col("root").alias("row"), "root").distinct()).join(ids, "row").select("root", "id").checkpoint()
+    both = kept(labels.unionByName(labels.select(F.col("root").alias("row"), "root").distinct()).join(ids, "row").select("root", "id"))
     named = both.join(both.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
     if ids.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").take(1):
         named = components(named.select(F.col("id").alias("u"), F.col("component").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("component"))

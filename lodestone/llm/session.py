@@ -28,9 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return prepare(spark).sparkContext.getCheckpointDir()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in fewer files than a shuffle has partitions, where that leaves four tasks a core at least."""
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-shuffle_partitions(df.sparkSession) // 8))).checkpoint()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), planned from then on without the size estimates that led to it: those multiply at every join, and square each time in a loop."""
-    done, session = df.checkpoint(), df.sparkSession
+    """kept(df), planned from then on without the size estimates that led to it: those multiply at every join, and square each time in a loop."""
+    done, session = kept(df), df.sparkSession
     return DataFrame(session._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), session)
 
 

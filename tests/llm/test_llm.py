@@ -308,6 +308,40 @@ def test_quality(spark, edge_docs):
     assert quality.quality_scores(edge_docs, labels.limit(0)).count() == len(EDGES)
 
 
+def test_quality_learns_from_every_label(spark):
+    """Documents of label 0 are those whose ids have the greatest hashes: a sample by hash has none of them."""
+    ids = spark.range(9000).selectExpr("id", "row_number() over (order by xxhash64(id) desc) <= 300 as junk").toArrow().to_pydict()
+    junk = dict(zip(ids["id"], ids["junk"]))
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, "### $$$ w1 w1 $$$" if bad else prose(r, 8), "en", "s", 0) for i, bad in junk.items()], SCHEMA)
+    labels = spark.createDataFrame([(i, int(not bad), 0) for i, bad in junk.items()], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.predicted for x in quality.quality_scores(docs, labels).collect()}
+    assert got == {i: int(not bad) for i, bad in junk.items()}
+
+
+def test_quality_meets_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    width = quality.features(pa.array([""], pa.large_string())).shape[1]
+    x = (rng.normal(size=(400, width)) * (np.arange(width) < 20)).astype(np.float32)
+    good = (rng.random(400) < 1 / (1 + np.exp(-x[:, :4].sum(1)))).astype(np.int64) * rng.integers(1, 4, 400)
+    bad = np.where(good == 0, rng.integers(1, 3, 400), rng.integers(0, 2, 400))
+    blocks = spark.createDataFrame([tuple(bytearray(np.ascontiguousarray(a[i : i + 90]).tobytes()) for a in (x, good, bad)) for i in range(0, 400, 90)], "x binary, good binary, bad binary").repartition(3)
+    learned = quality.learn(blocks)
+    weight = (good + bad)[:, None]
+    middle = (weight * x).sum(0) / weight.sum()
+    assert np.allclose(learned.middle, middle, atol=1e-5) and np.allclose(learned.scale, np.sqrt((weight * (x - middle) ** 2).sum(0) / weight.sum()) + 1e-3, atol=1e-5)
+    z, s = quality.standardised(x, learned.middle, learned.scale), learned.raw(x)
+    lost = 1 / (1 + np.exp(s[:, None] - s)) * np.outer(good, bad) / (good.sum() * bad.sum())  # row: label 1, column: label 0
+    slope = (lost.sum(0) - lost.sum(1)) @ z + 3e-4 * learned.weights
+    assert np.linalg.norm(slope) < 0.01 * np.linalg.norm((bad / bad.sum() - good / good.sum()) @ z)
+    loss, first, loses, wins = quality.met(*quality.on_nodes(s, good, bad))
+    assert abs(loss - (np.logaddexp(0, s - s[:, None]) * np.outer(good, bad)).sum() / (good.sum() * bad.sum())) < 1e-4
+    node = np.arange(first, first + len(loses)) / quality.NODES
+    assert np.allclose(np.interp(s, node, loses) * good / good.sum(), lost.sum(1), atol=1e-6) and np.allclose(np.interp(s, node, wins) * bad / bad.sum(), lost.sum(0), atol=1e-6)
+    right = [good[s >= c].sum() / good.sum() + bad[s < c].sum() / bad.sum() for c in (learned.cut, *s)]
+    assert right[0] >= max(right) - 0.01
+
+
 # 6 decontamination
 
 

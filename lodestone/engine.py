@@ -18,6 +18,7 @@ from .lang.parser import parse, parse_atom
 from .lang.values import Value, canonical
 from .plans import compile as plan
 from .plans.compile import Bound, Relation, name_of
+from .plans.pairs import paired
 from .plans.storage import materialised
 from .sources import load, parameters, sparql
 
@@ -242,11 +243,13 @@ class Engine:
         else:
             self.step += 1
             for pred in preds:
-                frames = [df for r in rules for p, df in self._heads(r) if p == pred]
                 old = self.relations[pred]
-                if old.pieces:
-                    frames.append(self._known(old))
-                df = reduce(DataFrame.union, frames).distinct()
+                df = self._pairs(rules[0]) if len(rules) == 1 and not old.pieces else None
+                if df is None:
+                    frames = [df for r in rules for p, df in self._heads(r, whole=True) if p == pred]
+                    if old.pieces:
+                        frames.append(self._known(old))
+                    df = reduce(DataFrame.union, frames).distinct()
                 if self.uses.get(pred, 0) > 1 or self.tracing:
                     df = materialised(df)
                 self.relations[pred] = Stored(old.kinds, df, False, [*old.steps, (self.step, df)], self.step)
@@ -255,12 +258,20 @@ class Engine:
         """Rows of an input without SQL NULLs, which aren't values."""
         return s.df.na.drop() if s.nullable else s.df
 
-    def _heads(self, rule: Rule, first: int | None = None, relation=None) -> list[tuple[str, DataFrame]]:
-        """The rows that one application of a rule derives, by predicate."""
+    def _pairs(self, rule: Rule) -> DataFrame | None:
+        """A rule's rows, each once, where it pairs so many values that they aren't to be shuffled; None for other rules."""
+        if any(isinstance(x, Atom) and x.pred in self.remote for x in rule.body):
+            return None
+        bound = paired(rule, lambda i, a: self._relation(a.pred), lambda a: self._relation(a.pred), self.broadcast_rows)
+        return bound and plan.project(rule.head[0], bound, self.relations[rule.head[0].pred].kinds)[0]
+
+    def _heads(self, rule: Rule, first: int | None = None, relation=None, whole: bool = False) -> list[tuple[str, DataFrame]]:
+        """The rows that one application of a rule derives, by predicate; whole where it is applied once, to all rows."""
         if relation is None:
             fetched = self._fetched(rule)
             relation = lambda i, a: fetched.get(i) or self._relation(a.pred)
-        bound = plan.body(rule, relation, lambda a: self._relation(a.pred), first)
+        keep = {v for h in rule.head for v in variables(h)} if whole else None
+        bound = plan.body(rule, relation, lambda a: self._relation(a.pred), first, keep)
         if any(plan.aggregate_of(t) for h in rule.head for t in h.args):
             rule, bound = plan.aggregate(rule, bound)
         return [(h.pred, plan.project(h, bound, self.relations[h.pred].kinds)[0]) for h in rule.head]

@@ -137,8 +137,20 @@ def settle(bound: Bound, ops: list[Op]) -> tuple[Bound, list[Op]]:
     return bound, rest
 
 
-def body(rule: Rule, relation: Callable[[int, Atom], Relation], negative: Callable[[Atom], Relation], first: int | None = None) -> Bound:
-    """All matches of a rule's body. Atoms join in an order that stays connected, from ``first`` on if given."""
+def narrowed(bound: Bound, found: Bound, needed: set[Var]) -> Bound | None:
+    """A join as a semi-join, where one side brings nothing that is needed and the other hasn't."""
+    shared = [v for v in found.kinds if v in bound.kinds]
+    for main, other in ((bound, found), (found, bound)):
+        if shared and set(other.kinds) & needed <= set(main.kinds):
+            got = join(main, Bound(other.df.select(*[name_of(v) for v in shared]).distinct(), {v: other.kinds[v] for v in shared}), "left_semi")
+            return Bound(got.df, {v: got.kinds[v] for v in main.kinds})
+    return None
+
+
+def body(rule: Rule, relation: Callable[[int, Atom], Relation], negative: Callable[[Atom], Relation], first: int | None = None, keep: set[Var] | None = None) -> Bound:
+    """All matches of a rule's body. Atoms join in an order that stays connected, from ``first`` on if given.
+
+    With keep, other variables may be missing, and matches that differ in these alone may come as one."""
     atoms = [(i, x) for i, x in enumerate(rule.body) if isinstance(x, Atom)]
     ops = [x for x in rule.body if isinstance(x, Op)]
     positive = {v for _, a in atoms for v in variables(a)}
@@ -164,7 +176,12 @@ def body(rule: Rule, relation: Callable[[int, Atom], Relation], negative: Callab
         for old, new, t, k in names:
             found = Bound(found.df.withColumnRenamed(old, new), found.kinds)
             later.append((new, t, k))
-        bound = join(bound, found)
+        narrow = None
+        if keep is not None and bound is not None and not later:
+            own = [o for o in ops if variables(o) and set(variables(o)) <= set(found.kinds)]
+            found, ops = settle(found, own)[0], [o for o in ops if o not in own]
+            narrow = narrowed(bound, found, keep.union(*(variables(x) for x in [*(a for _, a in left), *ops, *inner, *(y for y in rule.body if isinstance(y, Not))])))
+        bound = narrow or join(bound, found)
         bound, ops = settle(bound, ops)
         for entry in list(later):
             name, term, kind = entry

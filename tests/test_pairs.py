@@ -19,7 +19,7 @@ def logical(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name,size,columns", [("equality_join", 1_000, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])])
+@pytest.mark.parametrize("name,size,columns", [("self_join", 2_100, None), ("equality_join", 1_000, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])])
 def test_one_large_group_is_paired_without_a_shuffle_of_pairs(spark, tmp_path, name, size, columns):
     """All suppliers, and customers, in one nation: more than four million pairs, and none is told from its like."""
     n = spark.range(size)
